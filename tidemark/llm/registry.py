@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_jaccard, pii, token_files, topk, warc
+from . import mixing, ngram_jaccard, pii, suffix_dedup, token_files, topk, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_topk_search": topk.op3_topk_search,
         "op5_pii": pii.op5_pii,
         "op6_warc": warc.op6_warc,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_token_ids": token_files.op8_token_ids,
     }
 
