@@ -50,6 +50,25 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@functools.cache
+def bucket_labels(n: int) -> np.ndarray:
+    """For each of n partitions an int that Spark's hash partitioning (Murmur3, seed 42) sends there, so buckets never share one."""
+    found: dict[int, int] = {}
+    i = 0
+    while len(found) < n:
+        k = i * 0xCC9E2D51 & 0xFFFFFFFF
+        k = (k << 15 | k >> 17) & 0xFFFFFFFF
+        h = 42 ^ (k * 0x1B873593 & 0xFFFFFFFF)
+        h = (h << 13 | h >> 19) & 0xFFFFFFFF
+        h = (h * 5 + 0xE6546B64 & 0xFFFFFFFF) ^ 4
+        h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        h ^= h >> 16
+        found.setdefault((h - (1 << 32) if h >> 31 else h) % n, i)
+        i += 1
+    return np.array([found[x] for x in range(n)], np.int32)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

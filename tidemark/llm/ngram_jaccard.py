@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import by_bucket, doc_slices, hash_words, load, mix, parts, planes, stage, unplanes, utf8, word_bounds
+from ._common import bucket_labels, by_bucket, doc_slices, hash_words, load, mix, parts, planes, stage, unplanes, utf8, word_bounds
 from .graph import components
 
 _U = np.uint64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
-ROW_COST, PAIR_COST, SHARED = 1.0, 500.0, 0.4
+ROW_COST, PAIR_COST, SHARED = 1.0, 200.0, 0.4
 FLUSH = 1 << 20
 
 
@@ -172,11 +172,11 @@ def _index(n: int, num: int, den: int, pids: int):
     def flush(keys, docs, segs, sids, sizes):
         keys, docs, segs = np.concatenate(keys), np.concatenate(docs), np.concatenate(segs)
         sids, sizes = np.array(sids, np.int64), np.array(sizes, np.int64)
-        out_p, out_b = [], []
+        out_p, out_b, labels = [], [], bucket_labels(pids)
         for pid, at in by_bucket((keys >> _U(40)).astype(np.int64) % pids):
             used, doc = np.unique(docs[at], return_inverse=True)
             head = np.array([len(at), len(used)], np.int64).tobytes()
-            out_p.append(pid)
+            out_p.append(labels[pid])
             out_b.append(b"".join([head, planes(keys[at]), planes(doc.astype(np.uint32)), planes(segs[at]), planes(sids[used >> 1]), planes(sizes[used >> 1] * 2 + (used & 1))]))
         return pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_b, pa.binary())], ["pid", "blob"])
 
@@ -314,8 +314,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     sets = stage(docs.mapInArrow(_sets(n), "doc_id long, n_shingles long, sid long"), "sets")
     classes = sets.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
 
-    pids = 4 * parts(spark)
-    rows = docs.select("text").mapInArrow(_index(n, num, den, pids), "pid int, blob binary").repartition(parts(spark), "pid")
+    pids = parts(spark)
+    rows = docs.select("text").mapInArrow(_index(n, num, den, pids), "pid int, blob binary").repartition(pids, "pid")
     shared = stage(rows.mapInArrow(_shared(num, den), SHARED_ROWS), "shared")
     probes = stage(_probes(shared), "probes")
 
