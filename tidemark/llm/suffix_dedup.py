@@ -28,21 +28,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTES, by_bucket, doc_slices, load, parts, planes, stage, unplanes, utf8
+from ._common import _BYTES, bucket_labels, by_bucket, doc_slices, load, parts, planes, stage, unplanes, utf8
 
 _U = np.uint64
+#: Bytes of a k-gram; windows may be at most GRAM + 63 bytes long.
 GRAM = 24
 CHUNK = 12 << 20
 PIECE = 4 << 20
 #: Ids of at most so many bytes are broadcast to narrow a scan; beyond, the join shuffles.
-SMALL = 16 << 20
+SMALL = 8 << 20
 
 
 # ------------------------------------------------------------------ suffix array
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes of s (integers of at least 1) in ascending order."""
+def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Positions of the suffixes of s (integers of at least 1) in ascending order.
+
+    With ``depth``, suffixes that agree on so many symbols may stand in any order.
+    """
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
@@ -51,19 +55,24 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     i2 = np.arange(2, n + (n % 3 == 1), 3)
     sample = np.concatenate([i1, i2])
     names, count = _names(p, sample)
-    order = np.argsort(names, kind="stable") if count == len(sample) else suffix_array(names)
+    if count == len(sample) or depth is not None and depth <= 3:
+        order = np.argsort(names, kind="stable")
+    else:
+        order = suffix_array(names, None if depth is None else -(-depth // 3))
     rank = np.zeros(n + 4, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     i0 = np.arange(0, n, 3)
     big = np.int64(len(sample) + 2)
-    a0 = i0[np.argsort(p[i0] * big + rank[i0 + 1], kind="stable")]
+    a0 = i0[np.argsort(p[i0] * big + rank[i0 + 1])]
     both = sample[order]
     both = both[both < n]
     a1, a2 = both[both % 3 == 1], both[both % 3 == 2]
-    below1 = np.searchsorted(p[a1] * big + rank[a1 + 1], p[a0] * big + rank[a0 + 1])
+    # suffixes in any order among their like leave keys that are not quite sorted
+    count_below = lambda theirs, mine: np.maximum.accumulate(np.searchsorted(np.sort(theirs), mine)) if len(mine) else np.zeros(0, np.int64)
+    below1 = count_below(p[a1] * big + rank[a1 + 1], p[a0] * big + rank[a0 + 1])
     top = np.int64(p.max() + 1)
     _, pair = np.unique(np.concatenate([p[a2] * top + p[a2 + 1], p[a0] * top + p[a0 + 1]]), return_inverse=True)
-    below2 = np.searchsorted(pair[: len(a2)] * big + rank[a2 + 2], pair[len(a2) :] * big + rank[a0 + 2])
+    below2 = count_below(pair[: len(a2)] * big + rank[a2 + 2], pair[len(a2) :] * big + rank[a0 + 2])
     out = np.empty(n, np.int64)
     at = np.arange(len(a0)) + below1 + below2
     rest = np.ones(n, bool)
@@ -76,6 +85,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 def _names(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense ranks, from 1, of the triples that start at these positions."""
     top = np.int64(p.max() + 1)
+    if top <= 1 << 8:
+        key = (p[at] * top + p[at + 1]) * top + p[at + 2]
+        there = np.zeros(int(top) ** 3, bool)
+        there[key] = True
+        rank = np.cumsum(there)
+        return rank[key], int(rank[-1])
     if top < 1 << 20:
         key = (p[at] * top + p[at + 1]) * top + p[at + 2]
     else:
@@ -87,18 +102,15 @@ def _names(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
 def window_minima(texts: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
     """For each text, the smallest owner of each of its windows, over all texts that hold the same window."""
     sizes = np.array([len(t) for t in texts])
-    s = np.ones(int(sizes.sum()) + len(texts), np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     raw = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8)
-    s += raw
+    used = np.bincount(raw, minlength=256) > 0
+    s = (np.cumsum(used) + 1)[raw]
     ends = starts[1:] - 1
     s[ends] = 1
-    inside = np.ones(len(s), bool)
-    inside[ends] = False
-    s[inside] += 1
     owner = np.repeat(owners, sizes + 1)
     left = np.repeat(ends, sizes + 1) - np.arange(len(s))
-    sa = suffix_array(s)
+    sa = suffix_array(s, length)
     sa = sa[left[sa] >= length]
     new = np.ones(len(sa), bool)
     view = np.lib.stride_tricks.sliding_window_view(raw, length)
@@ -115,10 +127,10 @@ def window_minima(texts: list[bytes], owners: np.ndarray, length: int) -> list[n
 # ------------------------------------------------------------------ anchors
 
 
-def anchors(data: np.ndarray, length: int) -> np.ndarray:
-    """For each window, the smallest hash of its k-grams."""
+def anchors(data: np.ndarray, length: int, places: bool = False) -> np.ndarray:
+    """For each window, the smallest hash (48 bits) of its k-grams; with ``places`` also where that k-gram starts."""
     if len(data) < length:
-        return np.zeros(0, _U)
+        return (np.zeros(0, _U), np.zeros(0, np.int64)) if places else np.zeros(0, _U)
     gram = min(GRAM, length)
     base, size, at = _BYTES[data], 1, 0
     radix = 0x9E3779B97F4A7C15
@@ -139,11 +151,16 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
     h = h[: len(data) - gram + 1]
     h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
     width, have = length - gram + 1, 1
+    if places:  # the low bits, which the hash leaves out, carry the place
+        h = (h & ~_U(63)) | (np.arange(len(h), dtype=_U) & _U(63))
     while have < width:
         step = min(have, width - have)
         h = np.minimum(h[:-step], h[step:])
         have += step
-    return h
+    if not places:
+        return h >> _U(16)
+    at = np.arange(len(h))
+    return h >> _U(16), at + (((h & _U(63)).astype(np.int64) - at) & 63)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -204,12 +221,13 @@ def _entries(length: int, pids: int):
         heads = np.concatenate([[True], h[1:] != h[:-1]])
         alone = heads & np.concatenate([heads[1:], [True]])
         shared = ~alone
-        by_anchor = lambda x: (x >> _U(40)).astype(np.int64) % pids
+        by_anchor = lambda x: (x >> _U(24)).astype(np.int64) % pids
+        labels = bucket_labels(pids)
         rows = list(_blobs(0, by_anchor(h[alone]), h[alone], t[alone]))
         first = heads & shared
         rows += _blobs(1, by_anchor(h[first]), h[first], t[first])
         rows += _blobs(2, t[shared] % pids, h[shared], t[shared])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array([labels[r[0]] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "blob"])
 
     def run(batches):
         hs, ts, held = [], [], 0
@@ -274,7 +292,7 @@ def _repeated(batches):
 
 # ------------------------------------------------------------------ stretches
 
-STRETCHES = "kind int, anchor long, doc_id long, tid long, body binary, places binary"
+STRETCHES = "kind int, anchor long, k int, doc_id long, tid long, body binary, places binary"
 
 
 def _ranges(starts: np.ndarray, length: int) -> np.ndarray:
@@ -290,19 +308,19 @@ def _stretches(length: int):
 
     def flush(docs, held):
         local: dict[int, list] = {}
-        rows = ([], [], [], [], [], [])
+        rows = ([], [], [], [], [], [], [])
 
         def put(*row):
             for col, x in zip(rows, row, strict=True):
                 col.append(x)
 
-        for (anchor, body), (doc, places, others) in held.items():
-            put(1, anchor, docs[doc][0], docs[doc][1], body, np.array(places, np.int64).tobytes())
+        for (anchor, k, body), (doc, places, others) in held.items():
+            put(1, anchor, k, docs[doc][0], docs[doc][1], body, np.array(places, np.int64).tobytes())
             for d, at in others:
                 local.setdefault(d, []).append((at, at + len(body)))
         for d, (doc_id, tid, text) in enumerate(docs):
-            put(0, None, doc_id, tid, text, np.array(local.get(d, []), np.int64).tobytes())
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            put(0, None, None, doc_id, tid, text, np.array(local.get(d, []), np.int64).tobytes())
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in STRETCHES.split(", ")])
 
     def run(batches):
@@ -318,9 +336,13 @@ def _stretches(length: int):
                 d = len(docs)
                 docs.append((ids[row], tids[row], own.tobytes()))
                 for _, part, _, start in pieces(own, np.array([0, len(own)]), length):
-                    m = anchors(part, length)
-                    at = np.minimum(np.searchsorted(known, m), len(known) - 1)
-                    hit = np.flatnonzero(known[at] == m)
+                    m, place = anchors(part, length, places=True)
+                    if not len(m):
+                        continue
+                    heads = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+                    at = np.minimum(np.searchsorted(known, m[heads]), len(known) - 1)
+                    hit = np.repeat(known[at] == m[heads], np.diff(np.concatenate([heads, [len(m)]])))
+                    hit = np.flatnonzero(hit)
                     if not len(hit):
                         continue
                     width = length - min(GRAM, length) + 1
@@ -330,7 +352,10 @@ def _stretches(length: int):
                     raw = part.tobytes()
                     marks = m.view(np.int64)
                     for a, b in zip(hit[cut].tolist(), hit[np.concatenate([cut[1:] - 1, [len(hit) - 1]]).astype(int)].tolist(), strict=True):
-                        key = (int(marks[a]), raw[a : b + length])
+                        body, k = raw[a : b + length], int(place[a]) - a
+                        # more than one place for the anchor: equal windows need not agree on it
+                        k = -1 if body.find(body[k : k + GRAM]) != k or body.find(body[k : k + GRAM], k + 1) >= 0 else k
+                        key = (int(marks[a]), k, body)
                         entry = held.get(key)
                         if entry is None:
                             held[key] = [d, [start + a], []]
@@ -351,38 +376,73 @@ def _stretches(length: int):
     return run
 
 
+def _agreement(parts_: list[bytes], width: int) -> list[int]:
+    """For each string the longest beginning, up to ``width`` bytes, that another one shares."""
+    values = [int.from_bytes(x[:width].ljust(width, b"\x00"), "big") for x in parts_]
+    order = sorted(range(len(values)), key=values.__getitem__)
+    out = [0] * len(values)
+    for i, j in zip(order, order[1:], strict=False):
+        same = width - ((values[i] ^ values[j]).bit_length() + 7) // 8
+        if same > out[i]:
+            out[i] = same
+        out[j] = same
+    return [min(n, len(x)) for n, x in zip(out, parts_, strict=True)]
+
+
 def _decide(length: int):
-    """Stretches of a partition, whole anchors: the ranges that other chunks' documents take away."""
+    """Stretches of a partition, whole anchors: the ranges that other chunks' documents take away.
+
+    Windows with one place for the anchor are equal only if they agree around it, so stretches that differ are first
+    trimmed to what they share with another one on either side; those without a whole window left are done.
+    """
+    gram = min(GRAM, length)
 
     def run(batches):
-        groups: dict[int, dict[bytes, list]] = {}
+        groups: dict[int, dict[tuple, list]] = {}
         for batch in batches:
-            for anchor, doc, tid, body, places in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "tid", "body", "places")), strict=True):
-                groups.setdefault(anchor, {}).setdefault(body, []).append((doc, tid, places))
+            for anchor, k, doc, tid, body, places in zip(*(batch.column(c).to_pylist() for c in ("anchor", "k", "doc_id", "tid", "body", "places")), strict=True):
+                groups.setdefault(anchor, {}).setdefault((k, body), []).append((doc, tid, places))
         out: dict[tuple[int, int], list] = {}
 
-        def settle(body, rows, best):
+        def settle(rows, shift, best):
             for doc, tid, places in rows:
                 lost = np.flatnonzero(best < doc)
                 if len(lost):
-                    r = _ranges(lost, length)
+                    r = _ranges(lost, length) + shift
                     for at in np.frombuffer(places, np.int64):
                         out.setdefault((doc, tid), []).append(r + at)
 
         mixed, owners, rows_of = [], [], []
         for bodies in groups.values():
-            if len(bodies) == 1:
-                (body, rows), = bodies.items()
-                if len(rows) > 1:
-                    settle(body, rows, np.full(len(body) - length + 1, min(r[0] for r in rows)))
-            else:
-                for body, rows in bodies.items():
+            if len(bodies) == 1 and len(next(iter(bodies.values()))) == 1:
+                continue
+            keys = list(bodies)
+            cuts = [(0, len(body)) for _, body in keys]
+            if len(keys) > 1 and all(k >= 0 for k, _ in keys):
+                left = _agreement([body[:k][::-1] for k, body in keys], length)
+                right = _agreement([body[k + gram :] for k, body in keys], length)
+                cuts = [(k - x, k + gram + y) for (k, _), x, y in zip(keys, left, right, strict=True)]
+            # equal stretches lose nothing to trimming
+            cuts = [(0, len(key[1])) if len(bodies[key]) > 1 else c for key, c in zip(keys, cuts, strict=True)]
+            trimmed: dict[bytes, list] = {}
+            for key, (lo, hi) in zip(keys, cuts, strict=True):
+                if hi - lo >= length:
+                    trimmed.setdefault(key[1][lo:hi], []).append((bodies[key], lo))
+            for body, held in trimmed.items():
+                owner = min(r[0] for rows, _ in held for r in rows)
+                if len(trimmed) == 1:
+                    best = np.full(len(body) - length + 1, owner)
+                    for rows, lo in held:
+                        settle(rows, lo, best)
+                else:
                     mixed.append(body)
-                    owners.append(min(r[0] for r in rows))
-                    rows_of.append(rows)
+                    owners.append(owner)
+                    rows_of.append(held)
+        groups.clear()
         if mixed:
-            for body, rows, best in zip(mixed, rows_of, window_minima(mixed, np.array(owners, np.int64), length), strict=True):
-                settle(body, rows, best)
+            for held, best in zip(rows_of, window_minima(mixed, np.array(owners, np.int64), length), strict=True):
+                for rows, lo in held:
+                    settle(rows, lo, best)
         if out:
             keys = list(out)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([np.concatenate(out[k]).tobytes() for k in keys], pa.binary())], ["doc_id", "tid", "lost"])
@@ -418,7 +478,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     first = facts.filter(f"doc_id is not null and n_bytes >= {length}").groupBy("tid").agg(F.min("doc_id").alias("first"))
 
     p = parts(spark)
-    entries = docs.filter("doc_id is not null").select("text").mapInArrow(_entries(length, 4 * p), "pid int, blob binary").repartition(p, "pid")
+    entries = docs.filter("doc_id is not null").select("text").mapInArrow(_entries(length, p), "pid int, blob binary").repartition(p, "pid")
     lists = entries.mapInArrow(_repeated, "tid long, hs binary").groupBy("tid").agg(F.collect_list("hs").alias("hs"))
     wanted = stage(lists.join(first, "tid").withColumnRenamed("first", "doc_id"), "wanted")
 
@@ -429,7 +489,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     found = some.join(wanted, "doc_id").select("doc_id", "tid", "text", "hs")
     stretches = stage(found.mapInArrow(_stretches(length), STRETCHES), "stretches")
 
-    lost = stretches.filter("kind = 1").select("anchor", "doc_id", "tid", "body", "places").repartition(p, "anchor").mapInArrow(_decide(length), "doc_id long, tid long, lost binary")
+    lost = stretches.filter("kind = 1").select("anchor", "k", "doc_id", "tid", "body", "places").repartition(p, "anchor").mapInArrow(_decide(length), "doc_id long, tid long, lost binary")
     lost = lost.groupBy("doc_id", "tid").agg(F.collect_list("lost").alias("lost"))
     pending = stretches.filter("kind = 0").select("doc_id", "tid", "body", "places")
     cut = pending.join(lost, ["doc_id", "tid"], "left").mapInArrow(_cut, "doc_id long, tid long, gone long, runs long, kept string").dropDuplicates(["doc_id", "tid"])
