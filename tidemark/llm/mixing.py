@@ -67,24 +67,45 @@ def _thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def mix_sources(docs: DataFrame, share_num: int = 3, share_den: int = 2, most: int = 2) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``: the words that the mix takes of each document."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    hash_ = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    slim = stage(docs.select("doc_id", "source", size.alias("size"), hash_.alias("hash")), "sizes")
+def _size():
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _hash():
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+
+
+def _plan(slim: DataFrame, share_num: int, share_den: int, most: int) -> DataFrame:
+    """``own, source_size, target, whole, threshold`` for each source: whole copies, and the hash below which one more is taken."""
     goal = stage(targets(slim, share_num, share_den, most), "targets")
-    whole = F.floor(F.col("target") / F.col("source_size"))
-    copies = F.explode(F.sequence(F.lit(1), F.lit(most)))
-    budgets = goal.filter("source_size > 0").select("source", copies.alias("copy"), "target", "source_size")
+    budgets = goal.filter("source_size > 0").select("source", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("copy"), "target", "source_size")
     budgets = budgets.withColumn("budget", F.col("target") - (F.col("copy") - 1) * F.col("source_size"))
     # a copy with a budget of all its source's words takes every document, one without budget takes none
     budgets = budgets.filter((F.col("budget") > 0) & (F.col("budget") < F.col("source_size"))).select("source", "copy", "budget")
-    marks = _thresholds(slim, budgets).groupBy("source").agg(F.max("threshold").alias("threshold"))
-    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(0))
-    plan = goal.alias("g").join(marks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("own"), "source_size", "target", "whole", "threshold")
-    out = slim.join(stage(plan, "plan"), F.col("source").eqNullSafe(F.col("own")))
-    times = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+    marks = _thresholds(slim, budgets).groupBy("source").agg(F.max("threshold").alias("threshold")).withColumnRenamed("source", "s")
+    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    plan = goal.join(marks, F.col("source").eqNullSafe(F.col("s")), "left")
+    return stage(plan.select(F.col("source").alias("own"), "source_size", "target", "whole", "threshold"), "plan")
+
+
+def _times():
+    return F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+
+
+def mix_sources(docs: DataFrame, share_num: int = 3, share_den: int = 2, most: int = 2) -> DataFrame:
+    """``doc_id, size, source_size, target, taken``: the words that the mix takes of each document."""
+    slim = stage(docs.select("doc_id", "source", _size().alias("size"), _hash().alias("hash")), "sizes")
+    out = slim.join(_plan(slim, share_num, share_den, most), F.col("source").eqNullSafe(F.col("own")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, share_num: int = 3, share_den: int = 2, most: int = 2) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each row as often as the mix takes it."""
+    slim = stage(docs.select("source", _size().alias("size"), _hash().alias("hash")), "sizes")
+    plan = _plan(slim, share_num, share_den, most)
+    own = docs.select(F.struct("*").alias("row"), F.col("source"), _hash().alias("hash"))
+    out = own.join(plan, F.col("source").eqNullSafe(F.col("own"))).withColumn("times", _times()).filter("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
