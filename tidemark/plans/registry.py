@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from .queries import QUERIES
+from .sql import SQL
+
+
+def entry(spark, sf_dir: str):
+    return QUERIES["barrier_results"](spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
