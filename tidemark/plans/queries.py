@@ -20,8 +20,8 @@ Y = "h20_directional_close_return"
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to a few places, so that two engines agree."""
-    return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+    """Doubles to a few places and without negative zeros, so that two engines agree."""
+    return df.select(*(F.when(F.round(c, places) == 0, 0.0).otherwise(F.round(c, places)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 def featured(spark: SparkSession, d: str, by: str = "supplier", gap: int = 200) -> DataFrame:

@@ -56,7 +56,7 @@ ft AS (SELECT *, realized_vol_10 / nullif(realized_vol_60, 0) AS realized_vol_ra
          row_number() OVER (PARTITION BY instrument_id ORDER BY date) AS place, max(segment_id) OVER (PARTITION BY instrument_id) AS last_segment FROM f3)"""
 
 
-_R = lambda cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+_R = lambda cols: ", ".join(f"CASE WHEN round({c}, 6) = 0 THEN 0 ELSE round({c}, 6) END AS {c}" for c in cols)
 _FT = _bars(gap=200) + _SEG + _features()
 
 _ENTRY = """,
