@@ -112,6 +112,14 @@ def test_levenshtein():
             assert lexicon.match(w) is None
 
 
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.op4_toxicity(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    held = got[got.held_out]
+    p, n = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
+    assert ((p[:, None] > n).mean() + (p[:, None] == n).mean() / 2) > 0.85
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, 40) + (" moron" if i % 4 == 0 else ""), "s") for i in range(400)] + [(900, None, "s"), (901, "", "s"), (902, "mor0n here", "s")]

@@ -177,15 +177,22 @@ def _count(frames):
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Ridge regression towards ``PRIOR``: what training texts do not show keeps a sensible sign."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = prior = np.array([*PRIOR, 0.0])
+    prior = np.array([*PRIOR, 0.0])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
-    for _ in range(50):
+
+    def loss(w):
+        return np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (penalty * (w - prior) ** 2).sum() / 2
+
+    w, now = np.zeros(x.shape[1]), loss(np.zeros(x.shape[1]))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, x.T @ (y - p) - penalty * (w - prior))
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w, gain, now = w + step, now - new, new
+        if gain < 1e-9:
             break
     return w
 
