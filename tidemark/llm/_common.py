@@ -42,7 +42,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes the rows as Parquet in the shared folder and reads them from there."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,10 +25,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import _BYTES, bucket_labels, by_bucket, doc_slices, load, parts, planes, stage, unplanes, utf8
+from ._common import _BYTES, bucket_labels, by_bucket, doc_slices, load, mix, parts, planes, stage, unplanes, utf8
 
 _U = np.uint64
 #: Bytes of a k-gram; windows may be at most GRAM + 63 bytes long.
@@ -292,7 +292,7 @@ def _repeated(batches):
 
 # ------------------------------------------------------------------ stretches
 
-STRETCHES = "kind int, anchor long, k int, doc_id long, tid long, body binary, places binary"
+STRETCHES = "kind int, anchor long, k int, doc_id long, nth int, tid long, body binary, places binary"
 
 
 def _ranges(starts: np.ndarray, length: int) -> np.ndarray:
@@ -308,33 +308,33 @@ def _stretches(length: int):
 
     def flush(docs, held):
         local: dict[int, list] = {}
-        rows = ([], [], [], [], [], [], [])
+        rows = ([], [], [], [], [], [], [], [])
 
         def put(*row):
             for col, x in zip(rows, row, strict=True):
                 col.append(x)
 
         for (anchor, k, body), (doc, places, others) in held.items():
-            put(1, anchor, k, docs[doc][0], docs[doc][1], body, np.array(places, np.int64).tobytes())
+            put(1, anchor, k, docs[doc][0], docs[doc][1], None, body, np.array(places, np.int64).tobytes())
             for d, at in others:
                 local.setdefault(d, []).append((at, at + len(body)))
-        for d, (doc_id, tid, text) in enumerate(docs):
-            put(0, None, None, doc_id, tid, text, np.array(local.get(d, []), np.int64).tobytes())
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        for d, (doc_id, nth, tid, text) in enumerate(docs):
+            put(0, None, None, doc_id, nth, tid, text, np.array(local.get(d, []), np.int64).tobytes())
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in STRETCHES.split(", ")])
 
     def run(batches):
         docs, held, size = [], {}, 0
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids, tids = batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist()
+            ids, nths, tids = (batch.column(c).to_pylist() for c in ("doc_id", "nth", "tid"))
             for row, blobs in enumerate(batch.column("hs")):
                 own = data[offsets[row] : offsets[row + 1]]
                 if text_id(own.tobytes()) != tids[row]:  # another text under the same doc_id
                     continue
                 known = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in blobs.values]))
                 d = len(docs)
-                docs.append((ids[row], tids[row], own.tobytes()))
+                docs.append((ids[row], nths[row], tids[row], own.tobytes()))
                 for _, part, _, start in pieces(own, np.array([0, len(own)]), length):
                     m, place = anchors(part, length, places=True)
                     if not len(m):
@@ -389,7 +389,7 @@ def _agreement(parts_: list[bytes], width: int) -> list[int]:
     return [min(n, len(x)) for n, x in zip(out, parts_, strict=True)]
 
 
-def _decide(length: int):
+def _decide(length: int, pids: int):
     """Stretches of a partition, whole anchors: the ranges that other chunks' documents take away.
 
     Windows with one place for the anchor are equal only if they agree around it, so stretches that differ are first
@@ -400,17 +400,17 @@ def _decide(length: int):
     def run(batches):
         groups: dict[int, dict[tuple, list]] = {}
         for batch in batches:
-            for anchor, k, doc, tid, body, places in zip(*(batch.column(c).to_pylist() for c in ("anchor", "k", "doc_id", "tid", "body", "places")), strict=True):
-                groups.setdefault(anchor, {}).setdefault((k, body), []).append((doc, tid, places))
+            for anchor, k, doc, nth, body, places in zip(*(batch.column(c).to_pylist() for c in ("anchor", "k", "doc_id", "nth", "body", "places")), strict=True):
+                groups.setdefault(anchor, {}).setdefault((k, body), []).append((doc, nth, places))
         out: dict[tuple[int, int], list] = {}
 
         def settle(rows, shift, best):
-            for doc, tid, places in rows:
+            for doc, nth, places in rows:
                 lost = np.flatnonzero(best < doc)
                 if len(lost):
                     r = _ranges(lost, length) + shift
                     for at in np.frombuffer(places, np.int64):
-                        out.setdefault((doc, tid), []).append(r + at)
+                        out.setdefault((doc, nth), []).append(r + at)
 
         mixed, owners, rows_of = [], [], []
         for bodies in groups.values():
@@ -444,18 +444,42 @@ def _decide(length: int):
                 for rows, lo in held:
                     settle(rows, lo, best)
         if out:
-            keys = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([np.concatenate(out[k]).tobytes() for k in keys], pa.binary())], ["doc_id", "tid", "lost"])
+            keys = np.array(list(out), np.int64).reshape(-1, 2)
+            found = [np.concatenate(x) for x in out.values()]
+            labels, rows = bucket_labels(pids), []
+            for pid, at in by_bucket(mix(keys[:, 0].view(_U)).view(np.int64) % pids):
+                counts = np.array([len(found[i]) for i in at], np.int64)
+                body = np.concatenate([found[i] for i in at]).ravel()
+                rows.append((labels[pid], b"".join([np.array([len(at), len(body)], np.int64).tobytes(), *(planes(x) for x in (keys[at, 0], keys[at, 1], counts, body))])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "blob"])
 
     return run
 
 
+def _gather(batches):
+    """One row for each document with all its ranges."""
+    held: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for blob in batch.column("blob"):
+            b = memoryview(blob.as_buffer())
+            n, size = (int(x) for x in np.frombuffer(b, np.int64, 2))
+            docs, nths, counts = (unplanes(b, np.int64, n, 16 + 8 * n * i) for i in range(3))
+            ranges = unplanes(b, np.int64, size, 16 + 24 * n).reshape(-1, 2)
+            ends = np.cumsum(counts)
+            for doc, nth, a, e in zip(docs.tolist(), nths.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                held.setdefault((doc, nth), []).append(ranges[a:e])
+    keys = list(held)
+    for i in range(0, len(keys), 5000):
+        some = keys[i : i + 5000]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in some], pa.int64()), pa.array([k[1] for k in some], pa.int32()), pa.array([np.concatenate(held[k]).tobytes() for k in some], pa.binary())], ["doc_id", "nth", "lost"])
+
+
 def _cut(batches):
     """Documents with their ranges: what is removed and the hash of what stays."""
     for batch in batches:
         rows = []
         for text, own, more in zip(*(batch.column(c).to_pylist() for c in ("body", "places", "lost")), strict=True):
-            r = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in [own, *(more or [])]])
+            r = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in (own, more or b"")])
             r = r[np.argsort(r[:, 0], kind="stable")]
             keep, at, removed, spans = hashlib.sha256(), 0, 0, 0
             if len(r):
@@ -480,19 +504,20 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     p = parts(spark)
     entries = docs.filter("doc_id is not null").select("text").mapInArrow(_entries(length, p), "pid int, blob binary").repartition(p, "pid")
     lists = entries.mapInArrow(_repeated, "tid long, hs binary").groupBy("tid").agg(F.collect_list("hs").alias("hs"))
-    wanted = stage(lists.join(first, "tid").withColumnRenamed("first", "doc_id"), "wanted")
+    wanted = lists.join(first, "tid").withColumnRenamed("first", "doc_id")
+    wanted = stage(wanted.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("tid"))), "wanted")
 
     some = docs.filter(f"octet_length(text) >= {length}")
     ids = wanted.select("doc_id").distinct()
     if ids.count() * 16 <= SMALL:
         some = some.join(F.broadcast(ids), "doc_id", "left_semi")
-    found = some.join(wanted, "doc_id").select("doc_id", "tid", "text", "hs")
+    found = some.join(wanted, "doc_id").select("doc_id", "nth", "tid", "text", "hs")
     stretches = stage(found.mapInArrow(_stretches(length), STRETCHES), "stretches")
 
-    lost = stretches.filter("kind = 1").select("anchor", "k", "doc_id", "tid", "body", "places").repartition(p, "anchor").mapInArrow(_decide(length), "doc_id long, tid long, lost binary")
-    lost = lost.groupBy("doc_id", "tid").agg(F.collect_list("lost").alias("lost"))
-    pending = stretches.filter("kind = 0").select("doc_id", "tid", "body", "places")
-    cut = pending.join(lost, ["doc_id", "tid"], "left").mapInArrow(_cut, "doc_id long, tid long, gone long, runs long, kept string").dropDuplicates(["doc_id", "tid"])
+    lost = stretches.filter("kind = 1").select("anchor", "k", "doc_id", "nth", "body", "places").repartition(p, "anchor").mapInArrow(_decide(length, p), "pid int, blob binary")
+    lost = lost.repartition(p, "pid").mapInArrow(_gather, "doc_id long, nth int, lost binary")
+    pending = stretches.filter("kind = 0").select("doc_id", "nth", "tid", "body", "places")
+    cut = pending.join(lost, ["doc_id", "nth"], "left").mapInArrow(_cut, "doc_id long, tid long, gone long, runs long, kept string").dropDuplicates(["doc_id", "tid"])
 
     rows = facts.join(first, "tid", "left").join(cut, ["doc_id", "tid"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
