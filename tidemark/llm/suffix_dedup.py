@@ -254,40 +254,63 @@ def _entries(length: int, pids: int):
     return run
 
 
-def _repeated(batches):
-    """Of a partition's entries, for each text the anchors that another text has too."""
-    cols = {0: ([], []), 1: ([], []), 2: ([], [])}
+def _repeated(pids: int):
+    """Of a partition's entries, the anchors that more than one text has, with their texts, packed by text."""
+
+    def run(batches):
+        cols = {0: ([], []), 1: ([], []), 2: ([], [])}
+        for batch in batches:
+            for blob in batch.column("blob"):
+                b = memoryview(blob.as_buffer())
+                kind, n, k = (int(x) for x in np.frombuffer(b, np.int64, 3))
+                ids = unplanes(b, np.int64, k, 24 + 12 * n)
+                cols[kind][0].append(unplanes(b, _U, n, 24))
+                cols[kind][1].append(ids[unplanes(b, np.uint32, n, 24 + 8 * n)])
+        (h, t), (hm, _), (hl, tl) = ((np.concatenate(x) if x else np.zeros(0, d) for x, d in zip(c, (_U, np.int64), strict=True)) for c in cols.values())
+        order = np.lexsort((t, h))
+        h, t = h[order], t[order]
+        if len(h):
+            fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
+            h, t = h[fresh], t[fresh]
+            same = h[1:] == h[:-1]
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            hm = np.unique(hm)
+            if len(hm):
+                at = np.minimum(np.searchsorted(hm, h), len(hm) - 1)
+                keep |= hm[at] == h
+            h, t = h[keep], t[keep]
+        hs, ts = np.concatenate([h, hl]), np.concatenate([t, tl])
+        labels, rows = bucket_labels(pids), []
+        for pid, at in by_bucket((mix(ts.view(_U)) >> _U(1)).astype(np.int64) % pids):
+            rows.append((labels[pid], b"".join([np.array([len(at)], np.int64).tobytes(), planes(hs[at]), planes(ts[at])])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "blob"])
+
+    return run
+
+
+def _known(batches):
+    """One row for each text with all its repeated anchors."""
+    hs, ts = [], []
     for batch in batches:
         for blob in batch.column("blob"):
             b = memoryview(blob.as_buffer())
-            kind, n, k = (int(x) for x in np.frombuffer(b, np.int64, 3))
-            ids = unplanes(b, np.int64, k, 24 + 12 * n)
-            cols[kind][0].append(unplanes(b, _U, n, 24))
-            cols[kind][1].append(ids[unplanes(b, np.uint32, n, 24 + 8 * n)])
-    (h, t), (hm, _), (hl, tl) = ((np.concatenate(x) if x else np.zeros(0, d) for x, d in zip(c, (_U, np.int64), strict=True)) for c in cols.values())
-    order = np.lexsort((t, h))
-    h, t = h[order], t[order]
-    if len(h):
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
-        h, t = h[fresh], t[fresh]
-        same = h[1:] == h[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        hm = np.unique(hm)
-        if len(hm):
-            at = np.minimum(np.searchsorted(hm, h), len(hm) - 1)
-            keep |= hm[at] == h
-        h, t = h[keep], t[keep]
-    for hs, ts in ((h, t), (hl, tl)):
-        if not len(hs):
-            continue
-        order = np.lexsort((hs, ts))
-        hs, ts = hs[order], ts[order]
-        fresh = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])])
-        hs, ts = hs[fresh], ts[fresh]
-        heads = np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]]))
-        ends = np.concatenate([heads[1:], [len(ts)]])
-        for i in range(0, len(heads), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ts[heads[i : i + 10_000]]), pa.array([hs[a:b].tobytes() for a, b in zip(heads[i : i + 10_000], ends[i : i + 10_000], strict=True)], pa.binary())], ["tid", "hs"])
+            n = int(np.frombuffer(b, np.int64, 1)[0])
+            hs.append(unplanes(b, _U, n, 8))
+            ts.append(unplanes(b, np.int64, n, 8 + 8 * n))
+    if not hs:
+        return
+    hs, ts = np.concatenate(hs), np.concatenate(ts)
+    order = np.lexsort((hs, ts))
+    hs, ts = hs[order], ts[order]
+    fresh = np.ones(len(hs), bool)
+    fresh[1:] = (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])
+    hs, ts = hs[fresh], ts[fresh]
+    first = np.ones(len(ts), bool)
+    first[1:] = ts[1:] != ts[:-1]
+    heads = np.flatnonzero(first)
+    ends = np.concatenate([heads[1:], [len(ts)]])
+    for i in range(0, len(heads), 5000):
+        yield pa.RecordBatch.from_arrays([pa.array(ts[heads[i : i + 5000]]), pa.array([hs[a:b].tobytes() for a, b in zip(heads[i : i + 5000], ends[i : i + 5000], strict=True)], pa.binary())], ["tid", "hs"])
 
 
 # ------------------------------------------------------------------ stretches
@@ -332,7 +355,7 @@ def _stretches(length: int):
                 own = data[offsets[row] : offsets[row + 1]]
                 if text_id(own.tobytes()) != tids[row]:  # another text under the same doc_id
                     continue
-                known = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in blobs.values]))
+                known = np.frombuffer(blobs.as_buffer(), _U)
                 d = len(docs)
                 docs.append((ids[row], nths[row], tids[row], own.tobytes()))
                 for _, part, _, start in pieces(own, np.array([0, len(own)]), length):
@@ -503,7 +526,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
 
     p = parts(spark)
     entries = docs.filter("doc_id is not null").select("text").mapInArrow(_entries(length, p), "pid int, blob binary").repartition(p, "pid")
-    lists = entries.mapInArrow(_repeated, "tid long, hs binary").groupBy("tid").agg(F.collect_list("hs").alias("hs"))
+    lists = entries.mapInArrow(_repeated(p), "pid int, blob binary").repartition(p, "pid").mapInArrow(_known, "tid long, hs binary")
     wanted = lists.join(first, "tid").withColumnRenamed("first", "doc_id")
     wanted = stage(wanted.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("tid"))), "wanted")
 
