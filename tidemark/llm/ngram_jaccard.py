@@ -12,7 +12,7 @@ pigeonhole principle it is enough that the smaller document probes any segments
 
 Equal sets collapse into a class first. Links inside a component need no proof, so each bucket first offers one pair for
 each member (a star), components are formed, and only pairs between different components of a bucket are compared after
-that. Pairs are verified on the words themselves.
+that. Of those, only pairs whose shared segments could suffice are verified, on the words themselves.
 
 Nulls and empty texts give empty sets, linked with nothing (their component is their own doc_id). Fewer than n words form
 one n-gram. Repeated rows are copies of each other. Other columns of the input are ignored. An empty table gives no rows.
@@ -37,8 +37,12 @@ from .graph import components
 _U = np.uint64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
-ROW_COST, PAIR_COST, SHARED = 1.0, 200.0, 0.4
+ROW_COST, PAIR_COST, SHARED = 1.0, 80.0, 0.4
+#: Exact segments for each difference: with more, fewer pairs agree in enough of them by chance.
+SLACK = 1.0
 FLUSH = 1 << 20
+#: Rounds of stars before the remaining pairs of a bucket are compared.
+STARS = 3
 
 
 # ------------------------------------------------------------------ sets
@@ -111,7 +115,7 @@ class Scheme:
     def allocate(self, lo: int, hi: int) -> tuple[int, int]:
         """(segments, weight of each): exact or one-deletion segments by estimated index rows and useless pairs."""
         h, size = self.differ(hi), (lo + hi) / 2
-        exact, near = h + 1, math.ceil((h + 1) / 2)
+        exact, near = math.ceil(SLACK * (h + 1)), math.ceil((h + 1) / 2)
         chance = lambda tokens: SHARED ** max(tokens, 0.0)
         cost1 = ROW_COST * exact + PAIR_COST * exact * chance(size / exact)
         t = size / near
@@ -134,7 +138,7 @@ class Scheme:
 
 
 def segment_keys(s: np.ndarray, band: int, m: int, weight: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the segments of a sorted set and, for one-deletion bands, the number of each key's segment (else -1)."""
+    """Keys of the segments of a sorted set, and the number of each key's segment."""
     own = mix(s ^ _U((band + 1) * 0xA24BAED4963EE407 & (2**64 - 1)))
     total = np.zeros(len(s) + 1, _U)
     np.cumsum(own, out=total[1:])
@@ -143,7 +147,7 @@ def segment_keys(s: np.ndarray, band: int, m: int, weight: int) -> tuple[np.ndar
     content = total[cuts[1:]] - total[cuts[:-1]]
     salt = mix(np.arange(1, m + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F) + _U(band << 40))
     if weight == 1:
-        return mix(content ^ salt), np.full(m, -1, np.int32)
+        return mix(content ^ salt), np.arange(m, dtype=np.int32)
     at = seg.astype(np.int64)
     less = content[at] - own
     keys = np.concatenate([mix(content ^ salt), mix(less ^ salt[at])])
@@ -177,7 +181,7 @@ def _index(n: int, num: int, den: int, pids: int):
             used, doc = np.unique(docs[at], return_inverse=True)
             head = np.array([len(at), len(used)], np.int64).tobytes()
             out_p.append(labels[pid])
-            out_b.append(b"".join([head, planes(keys[at]), planes(doc.astype(np.uint32)), planes(segs[at]), planes(sids[used >> 1]), planes(sizes[used >> 1] * 2 + (used & 1))]))
+            out_b.append(b"".join([head, planes(keys[at]), planes(doc.astype(np.uint32)), planes(segs[at]), planes(sids[used >> 8]), planes((sizes[used >> 8] << 8) | (used & 255))]))
         return pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_b, pa.binary())], ["pid", "blob"])
 
     def run(batches):
@@ -194,7 +198,7 @@ def _index(n: int, num: int, den: int, pids: int):
                     k, g = segment_keys(s, band, *scheme.kinds[band])
                     keys.append(k)
                     segs.append(g)
-                    docs.append(np.full(len(k), 2 * len(sids) + probes, np.int64))
+                    docs.append(np.full(len(k), (len(sids) << 8) | (band << 1) | probes, np.int64))
                     held += len(k)
                 sids.append(sid)
                 sizes.append(len(s))
@@ -207,7 +211,7 @@ def _index(n: int, num: int, den: int, pids: int):
     return run
 
 
-SHARED_ROWS = "key long, sid long, n long, seg int, probe boolean, cnt long, hub long, hub_n long, base int, weight int"
+SHARED_ROWS = "key long, sid long, n long, band int, seg int, probe boolean, cnt long, hub long, hub_n long, base int, segments int, weight int"
 
 
 def _shared(num: int, den: int):
@@ -226,7 +230,7 @@ def _shared(num: int, den: int):
                 seg = unplanes(b, np.int32, nk, at := at + 4 * nk)
                 sid = unplanes(b, np.int64, nd, at := at + 4 * nk)
                 size = unplanes(b, np.int64, nd, at + 8 * nd)
-                for col, x in zip(cols, (key, sid[doc], size[doc] >> 1, seg, (size[doc] & 1).astype(bool)), strict=True):
+                for col, x in zip(cols, (key, sid[doc], size[doc], seg, (size[doc] & 1).astype(bool)), strict=True):
                     col.append(x)
         if not cols[0]:
             return
@@ -253,12 +257,12 @@ def _shared(num: int, den: int):
         cnt = np.repeat(count, count)
         if not rows.any():
             return
-        tables = {int(s): scheme.kinds[scheme.band(int(s))] for s in np.unique(size[rows])}
-        base = {s: scheme.differ(s) + 1 - m * w for s, (m, w) in tables.items()}
+        band, size = (size & 255) >> 1, size >> 8
+        tables = {(int(s), int(b)): (scheme.differ(int(s)) + 1 - scheme.kinds[b][0] * scheme.kinds[b][1], *scheme.kinds[b]) for s, b in np.unique(np.stack([size[rows], band[rows]], axis=1), axis=0)}
         signed = key.view(np.int64)
         for at in np.array_split(np.flatnonzero(rows), max(1, int(rows.sum()) // 100_000)):
-            own = size[at].tolist()
-            arrays = [signed[at], sid[at], size[at], seg[at], probe[at], cnt[at], sid[hub[at]], size[hub[at]], np.array([base[s] for s in own], np.int32), np.array([tables[s][1] for s in own], np.int32)]
+            own = np.array([tables[x] for x in zip(size[at].tolist(), band[at].tolist(), strict=True)], np.int32)
+            arrays = [signed[at], sid[at], size[at], band[at].astype(np.int32), seg[at], probe[at], cnt[at], sid[hub[at]], size[hub[at]], own[:, 0], own[:, 1], own[:, 2]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [x.split()[0] for x in SHARED_ROWS.split(", ")])
 
     return run
@@ -266,7 +270,7 @@ def _shared(num: int, den: int):
 
 def _probes(shared: DataFrame) -> DataFrame:
     """For each document the cheapest segments whose weights, with those of unshared ones, exceed H: ``sid, n, key, hub, hub_n``."""
-    probers = shared.filter("probe").withColumn("sg", F.when(F.col("seg") < 0, F.col("key")).otherwise(F.col("seg").cast("long")))
+    probers = shared.filter("probe").withColumnRenamed("seg", "sg")
     segs = probers.groupBy("sid", "base", "weight", "sg").agg(F.sum("cnt").alias("cost"))
     own = Window.partitionBy("sid")
     segs = segs.withColumn("need", F.col("base") + F.col("weight") * F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("cost", "sg")))
@@ -325,26 +329,49 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     reps = used.join(classes, "sid")
     texts = stage(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "texts")
 
-    stars = probes.filter((F.col("sid") != F.col("hub")) & fit_any("n", "hub_n")).groupBy("sid", "hub").agg(F.count("*").alias("c"))
-    stars = stars.groupBy("sid").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-    pairs = stars.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
-    links = stage(_links(pairs, texts, n, num, den), "links")
-    labels = components(links)
-
-    def with_root(df: DataFrame) -> DataFrame:
-        return df.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    def best(pairs: DataFrame) -> DataFrame:
+        """For each document the partner with which it shares most keys."""
+        pairs = pairs.groupBy("sid", "hub").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
+        return pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
 
-    members = with_root(shared.select("key", "sid", "n").join(probes.select("key").distinct(), "key", "left_semi"))
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").select("key", "main")
-    members = stage(members.join(mixed, "key"), "members")
-    x = members.join(probes.select("key", "sid"), ["key", "sid"], "left_semi").select("key", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "main")
-    y = members.select("key", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
+    tried = stage(best(probes.filter((F.col("sid") != F.col("hub")) & fit_any("n", "hub_n"))), "pairs")
+    links = stage(_links(tried, texts, n, num, den), "links")
+    labels = components(links)
+    keyed = stage(shared.select("key", "sid", "n", "band", "segments", "weight").join(probes.select("key").distinct(), "key", "left_semi"), "keyed")
+    # which segments of a document any other one has: a pair agrees in no others
+    bits = shared.groupBy("sid", "band", F.shiftright("seg", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, seg & 63)")).alias("bits"))
+    masks = bits.groupBy("sid", "band").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("mask"))
+
+    def mixed() -> DataFrame:
+        """Members of the buckets that several components meet in; ``main`` has most of the bucket."""
+        members = keyed.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").select("key", "main")
+        return stage(members.join(main, "key"), "members")
+
+    # a few more stars around other members of each bucket's main component; then all pairs that are left
+    members = mixed()
+    for i in range(STARS):
+        hubs = members.filter("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("h"), F.col("sid").alias("hub"), F.col("n").alias("hub_n"))).alias("s")).select("key", "s.hub", "s.hub_n")
+        pairs = best(members.filter("root != main").join(hubs, "key").filter(fit_any("n", "hub_n"))).join(tried, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "pairs")
+        more = stage(_links(pairs, texts, n, num, den), "links")
+        tried = tried.union(pairs)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links)
+        members = mixed()
+    members = stage(members.join(masks, ["sid", "band"]), "members")
+    x = members.join(probes.select("key", "sid"), ["key", "sid"], "left_semi").select("key", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("mask").alias("mx"), "segments", "weight", "main")
+    y = members.select("key", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("mask").alias("my"), (F.col("root") == F.col("main")).alias("in_main"))
+    agree = F.expr("aggregate(map_keys(mx), 0, (a, k) -> a + bit_count(mx[k] & coalesce(my[k], 0L)))")
+    close = F.col("weight") * (F.col("segments") - agree) <= F.floor((F.lit(den - num) * (F.col("nx") + F.col("ny"))) / F.lit(den + num))
     strays = x.filter("rx != main").drop("main").join(y, "key")
     inside = x.filter("rx = main").drop("main").join(y.filter("not in_main"), "key")
-    cross = strays.unionByName(inside).filter(F.expr("rx != ry") & fits("nx", "ny"))
-    pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stage(_links(stage(pairs, "pairs"), texts, n, num, den), "links")
+    cross = strays.unionByName(inside).filter(F.expr("rx != ry") & fits("nx", "ny") & close)
+    pairs = stage(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = stage(_links(pairs, texts, n, num, den), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
