@@ -9,7 +9,7 @@ their null flags (uint8), their starts (int64, one more than documents), and for
 lowest bit first) and directory (int64). All numbers are little-endian.
 
 Documents are written in ascending order of doc_id (nulls first), each followed by id 0. Null texts are empty: they have
-the end id only. Equal doc_ids stand by text. An empty table gives no files and no rows. Other columns are ignored.
+the end id only. Equal doc_ids stand by a hash of the text, then by text. An empty table gives no files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,9 @@ MAGIC = b"TMDAC\x00\x00\x01"
 STEP = 512
 #: Tokens after which a task starts its next file.
 ROLL = 1 << 24
-CACHE = 400_000
+#: Characters of texts whose different words are found together, and words that are encoded together.
+CHUNK = 1 << 24
+TOGETHER = 4096
 _BITS = np.array([bin(x).count("1") for x in range(256)], np.int64)
 
 
@@ -117,14 +120,16 @@ class TokenFile:
 
 
 class Encoder:
-    """The tokenizer's ids, with the ids of recurring pieces kept.
+    """The tokenizer's ids of many texts, with each different word of a chunk of texts encoded once.
 
-    Where the tokenizer splits by the usual byte-level pattern before any merge, a text's ids are those of its pieces, one
-    after the other, so each new piece is encoded by the tokenizer once. Other tokenizers, and texts that contain an added
-    token, go to the tokenizer whole.
+    A byte-level tokenizer splits a text by a fixed pattern before any merge. A piece has one space at its start or is a run
+    of whitespace, so where no run goes on behind a space, a text's ids are those of its words with the space before them.
+    Different words are joined for the tokenizer, and as its tokens' bytes are the text's, the lengths tell whose they are.
+    Other tokenizers, and texts with an added token or with such a run, go to the tokenizer whole.
     """
 
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: A space inside or at the end of a run of whitespace.
+    RUN = regex.compile(r"\s (?:\s|\Z)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -132,34 +137,69 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         form = json.loads(self.model.to_str())
         split = form.get("pre_tokenizer") or {}
-        self.by_piece = form.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space") and form["model"]["type"] == "BPE"
+        self.by_word = form.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space") and form["model"]["type"] == "BPE"
         self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.find = regex.compile(self.PATTERN).findall
-        self.known = _Pieces(self)
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.kind)
-        if not self.by_piece or any(x in text for x in self.added):
-            return np.frombuffer(self.plain(text), self.kind)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.find(text))), self.kind)
-
-
-class _Pieces(dict):
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 256:  # long ones rarely recur
-            return self.encoder.plain(piece)
-        self[piece] = ids = self.encoder.plain(piece)
-        return ids
+        self.n_bytes = np.zeros(max(self.model.get_vocab().values()) + 1, np.int64)
+        for token, i in self.model.get_vocab().items():
+            self.n_bytes[i] = len(token)  # a character of a byte-level token is a byte
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= CHUNK:
+                out += self._chunk(held)
+                held, size = [], 0
+        return out + self._chunk(held)
+
+    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+        hard = [i for i, x in enumerate(texts) if not self.by_word or self.RUN.search(x) or any(a in x for a in self.added)]
+        kept = dict.fromkeys(hard, "")
+        words = pc.split_pattern(pa.array([kept.get(i, x) for i, x in enumerate(texts)], pa.string()), " ")
+        offsets, words = words.offsets.to_numpy().astype(np.int64), words.flatten().dictionary_encode()
+        which, first = words.indices.to_numpy().astype(np.int64), offsets[:-1]
+        words = words.dictionary.to_pylist()
+        begins: dict[str, int] = {}
+        which[first] = [begins.setdefault(words[w], len(words) + len(begins)) for w in which[first].tolist()]  # no space before them
+        table = self._spaced(words) + [self.whole(x) for x in begins]
+        length = np.array([len(x) for x in table], np.int64)
+        start, n = np.cumsum(length) - length, length[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.concatenate([np.zeros(0, self.kind), *table])[np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])]
+        at = ends[offsets]
+        found = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for i in hard:
+            found[i] = self.whole(texts[i])
+        return found
+
+    def _spaced(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word with a space before it."""
+        out: list = [None] * len(words)
+        plain = []
+        for i, word in enumerate(words):
+            if word and word == word.strip():
+                plain.append(i)
+            else:
+                out[i] = self.whole(" " + word)
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            ids = self.whole(" " + " ".join([words[i] for i in some]))
+            ends = np.cumsum([len(words[i].encode()) + 1 for i in some])
+            at = np.cumsum(self.n_bytes[ids])
+            cut = np.searchsorted(at, ends)
+            if len(ids) and at[-1] == ends[-1] and (at[cut] == ends).all():
+                cut = [0, *(cut + 1).tolist()]
+                for i, x, y in zip(some, cut[:-1], cut[1:], strict=True):
+                    out[i] = ids[x:y]
+            else:  # bytes that no token has
+                for i in some:
+                    out[i] = self.whole(" " + words[i])
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -198,8 +238,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
         end = np.array([end_id], code.kind)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                own = code.encode(text.as_py())
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), code.encode_many(batch.column("text").to_pylist()), strict=True):
                 ids += [own, end]
                 docs.append(doc_id)
                 sizes.append(len(own) + 1)
@@ -218,7 +257,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_dir(spark, "tokens")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = docs.repartitionByRange(max(parts(spark), 8), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")  # ranges are found from a sample of the keys: no texts among them
+    ordered = docs.repartitionByRange(max(parts(spark), 8), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
     ordered = ordered.mapInArrow(_writer(folder, tokenizer, end_id), "path string, first_doc long, n_docs long, n_tokens long, file int")
     written = stage(ordered.select("*", F.spark_partition_id().alias("part")), "manifest")
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
