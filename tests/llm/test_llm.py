@@ -265,3 +265,14 @@ def test_pipeline(spark, sf):
     clean = {r["doc_id"] for r in c.drop_benchmark(spark, table, sf).collect()}
     assert not any(b in t for i, t, _ in rows if i in clean for b in bench)
     assert c.run(spark, sf).count() > 0
+
+
+def test_token_encoder_keeps_whitespace_runs_and_added_tokens():
+    import random
+
+    code, draw = token_files.Encoder(token_files.default_tokenizer()), random.Random(3)
+    some = ["a", "bc", "'s", "1", ".", " ", " ", "\n", "\t", " ", " ", "é", "中", "\x1c", "\x85", "'ll", "<|endoftext|>", "\U0001f600"]
+    texts = [None, "", " ", "x" * 50_000, *("".join(draw.choices(some, k=draw.randint(0, 14))) for _ in range(5000))]
+    got = code.encode_many(texts)
+    assert all(x.tolist() == code.model.encode(t or "", add_special_tokens=False).ids for x, t in zip(got, texts, strict=True))
+    assert code.encode_many([]) == []
