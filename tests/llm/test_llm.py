@@ -228,6 +228,19 @@ def test_decontaminate(spark):
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs(spark, rows[:3]), bench.limit(0)).collect())
 
 
+def test_decontaminate_hot_copies_of_a_changed_item(spark):
+    rng = random.Random(12)
+    item = words(rng, 30, 3000).split()
+    changed = [*item]
+    changed[4], changed[17] = "other", "another"
+    hot = f"{words(rng, 50, 3000)} {' '.join(changed)} {words(rng, 40, 3000)}"
+    rows = [(i, hot if i % 3 == 0 else words(rng, 120, 3000), "s") for i in range(150)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, words(rng, 25, 3000))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert {i for i, r in got.items() if r["contaminated"]} == {i for i in range(150) if i % 3 == 0}
+    assert got[0]["item_id"] == 1 and abs(got[0]["score"] - 28 / 30) < 1e-9
+
+
 def test_gradients():
     net = language.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
