@@ -132,6 +132,24 @@ def test_ensemble(spark):
         model.predict(df.drop("a"))
 
 
+def test_model_queries_take_all_predictors(spark, sf, monkeypatch):
+    from tidemark.plans import queries
+
+    seen = []
+
+    def walk(rows, columns, folds):
+        assert set(columns) <= set(rows.columns)
+        seen.append(columns)
+
+    monkeypatch.setattr(models, "walk_forward", walk)
+    monkeypatch.setattr(models.GatedEnsemble, "fit", lambda self, rows: seen.append(self.config) or self._need(rows))
+    queries.oof(spark, sf)
+    queries.ensemble(spark, sf)
+    columns, config = seen
+    assert len(columns) == 37 and columns[0] == "raw_setup_strength" and tuple(columns) == config.feature_columns
+    assert (config.iterations, config.depth) == (150, 4)
+
+
 def test_ridge_parameter(spark):
     import numpy as np
 

@@ -17,6 +17,7 @@ DEMO = signals.TrendPullback("trend_pullback", config=LIQUID)
 PROBE = signals.EveryNth("every_nth", config={"modulus": 50})
 SHORT = signals.EveryNth("every_nth", direction="SHORT", config={"modulus": 7})
 Y = "h20_directional_close_return"
+PREDICTORS = ("raw_setup_strength", *ft.NAMES)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -258,7 +259,7 @@ def q_impute(spark, d) -> DataFrame:
 def oof(spark, d) -> DataFrame:
     rows = members(spark, d).cache()
     valid = sorted(r["fold"] for r in research.fold_status(rows, 100, 30).filter("status = 'valid'").collect())
-    found = models.walk_forward(rows, ["raw_setup_strength", "return_20", "atr_14_pct", "close_location"], valid)
+    found = models.walk_forward(rows, list(PREDICTORS), valid)
     return found if found is not None else rows.limit(0).select("candidate_id", "fold", "y_return", "y_target", F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("ridge_score"), F.lit(0.0).alias("logistic_score"))
 
 
@@ -275,7 +276,7 @@ def ensemble(spark, d):
     s = signals.combine([signals.materialize(signals.EveryNth(name, config={"modulus": m}), f) for name, m in (("nth_five", 5), ("nth_seven", 7))])
     rows = research.research_table(s, outcomes.outcomes(s, f), f, ("development", "integration_holdout", "final_ticker_holdout")).filter(F.col(Y).isNotNull())
     rows = rows.withColumns({"y_return": F.col(Y), "y_target": (F.col(Y) > 0).cast("int")}).cache()
-    config = models.EnsembleConfig(("return_1", "return_20", "atr_14_pct"), ("return_60", "realized_vol_20"), iterations=3, depth=3)
+    config = models.EnsembleConfig(PREDICTORS, ("return_60", "realized_vol_20"))
     return models.GatedEnsemble(config).fit(rows), rows
 
 
