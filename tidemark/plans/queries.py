@@ -16,6 +16,9 @@ LIQUID = {"minimum_history_bars": 60, "minimum_log_dollar_volume": 5.0, "maximum
 DEMO = signals.TrendPullback("trend_pullback", config=LIQUID)
 PROBE = signals.EveryNth("every_nth", config={"modulus": 50})
 SHORT = signals.EveryNth("every_nth", direction="SHORT", config={"modulus": 7})
+#: Every bar is a candidate.
+EVERY = signals.EveryNth("every_bar", config={"modulus": 1})
+EVERY_SHORT = signals.EveryNth("every_bar", direction="SHORT", config={"modulus": 1})
 Y = "h20_directional_close_return"
 PREDICTORS = ("raw_setup_strength", *ft.NAMES)
 
@@ -155,8 +158,8 @@ def labelled(spark, d, generator) -> DataFrame:
     return outcomes.outcomes(signals.materialize(generator, f), f)
 
 
-def q_core(spark, d) -> DataFrame:
-    return rounded(labelled(spark, d, PROBE).select("candidate_id", "entry_open", "same_segment_bars_available", "termination", "entry_gap_return_raw", "signal_atr_14_abs"))
+def q_core(spark, d, generator=PROBE) -> DataFrame:
+    return rounded(labelled(spark, d, generator).select("candidate_id", "entry_open", "same_segment_bars_available", "termination", "entry_gap_return_raw", "signal_atr_14_abs"))
 
 
 def q_horizons(generator, spark, d) -> DataFrame:
@@ -175,8 +178,8 @@ def q_barriers(generator, spark, d) -> DataFrame:
     return rows.select("candidate_id", *(F.col(c).cast("long").alias(c) if c.endswith("event") else F.col(c) for c in cols))
 
 
-def q_accounting(spark, d) -> DataFrame:
-    return outcomes.accounting(labelled(spark, d, PROBE))
+def q_accounting(spark, d, generator=PROBE) -> DataFrame:
+    return outcomes.accounting(labelled(spark, d, generator))
 
 
 def q_split(spark, d) -> DataFrame:
@@ -188,15 +191,15 @@ def q_period(spark, d) -> DataFrame:
     return rows.groupBy("temporal_partition").agg(F.count("*").alias("bars"))
 
 
-def researched(spark, d) -> DataFrame:
+def researched(spark, d, generator=SHORT) -> DataFrame:
     f = featured(spark, d)
-    s = signals.materialize(SHORT, f)
+    s = signals.materialize(generator, f)
     rows = research.research_table(s, outcomes.outcomes(s, f), f, ("development", "integration_holdout", "final_ticker_holdout"))
     return rows.filter(F.col(Y).isNotNull()).withColumns({"y_return": F.col(Y), "y_target": (F.col(Y) > 0).cast("int")})
 
 
-def q_research(spark, d) -> DataFrame:
-    return rounded(researched(spark, d).select("candidate_id", "ticker_split", "temporal_partition", "raw_setup_strength", "return_20", "atr_14_pct", "barrier_2r_20_result", "y_return", "y_target"))
+def q_research(spark, d, generator=SHORT) -> DataFrame:
+    return rounded(researched(spark, d, generator).select("candidate_id", "ticker_split", "temporal_partition", "raw_setup_strength", "return_20", "atr_14_pct", "barrier_2r_20_result", "y_return", "y_target"))
 
 
 def q_anti(spark, d) -> DataFrame:
@@ -213,20 +216,20 @@ def q_universe_diff(spark, d) -> DataFrame:
     return missing.join(F.broadcast(have.join(suppliers, "ticker", "left_anti").agg(F.count("*").alias("unknown"))))
 
 
-def members(spark, d) -> DataFrame:
-    return research.fold_members(researched(spark, d), research.folds(spark))
+def members(spark, d, generator=SHORT) -> DataFrame:
+    return research.fold_members(researched(spark, d, generator), research.folds(spark))
 
 
-def q_folds(spark, d) -> DataFrame:
-    return members(spark, d).groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("signal_date").alias("first"), F.max("signal_date").alias("last"), F.round(F.avg("y_target"), 6).alias("target_rate"))
+def q_folds(spark, d, generator=SHORT) -> DataFrame:
+    return members(spark, d, generator).groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("signal_date").alias("first"), F.max("signal_date").alias("last"), F.round(F.avg("y_target"), 6).alias("target_rate"))
 
 
-def q_fold_status(spark, d) -> DataFrame:
-    return research.fold_status(members(spark, d), 100, 30)
+def q_fold_status(spark, d, generator=SHORT) -> DataFrame:
+    return research.fold_status(members(spark, d, generator), 100, 30)
 
 
-def q_rank(spark, d) -> DataFrame:
-    rows = members(spark, d).filter("part = 'test'")
+def q_rank(spark, d, generator=SHORT) -> DataFrame:
+    rows = members(spark, d, generator).filter("part = 'test'")
     return rounded(research.rank_metrics(rows, "raw_setup_strength", ["fold"]))
 
 
@@ -239,8 +242,8 @@ def q_brier(spark, d) -> DataFrame:
     return rounded(research.brier(members(spark, d).filter("part = 'test'").withColumn("p", p), "p", ["fold"]))
 
 
-def q_gate(spark, d) -> DataFrame:
-    rows = members(spark, d).filter("part = 'test'")
+def q_gate(spark, d, generator=SHORT) -> DataFrame:
+    rows = members(spark, d, generator).filter("part = 'test'")
     total = research.rank_metrics(rows.withColumn("every", F.lit(1)), "raw_setup_strength", ["every"])
     return research.decide(research.gate(total, research.rank_metrics(rows, "raw_setup_strength", ["fold"])), 3, 1000, 2)
 
@@ -321,5 +324,7 @@ QUERIES = {
     "research_join": q_research, "anti_missing_outcomes": q_anti, "universe_diff": q_universe_diff, "walkforward_folds": q_folds, "fold_status": q_fold_status,
     "rank_metrics": q_rank, "auc": q_auc, "brier": q_brier, "gate_decision": q_gate, "impute_standardize": q_impute,
     "ridge_oof": q_ridge, "logistic_oof": q_logistic, "ensemble_predict": q_ensemble, "specialist_metadata": q_specialists,
+    **{f"{n}_every_bar": partial(q, generator=EVERY) for n, q in (("outcome_core", q_core), ("outcome_accounting", q_accounting), ("research_join", q_research), ("walkforward_folds", q_folds), ("fold_status", q_fold_status), ("rank_metrics", q_rank), ("gate_decision", q_gate))},
+    **{f"{n}_every_bar_{x}": partial(q, g) for n, q in (("outcome_horizons", q_horizons), ("first_touch", q_touch), ("barriers", q_barriers)) for x, g in (("long", EVERY), ("short", EVERY_SHORT))},
     "fingerprint": q_fingerprint, "store_fingerprint": q_store_fingerprint,
 }

@@ -205,3 +205,9 @@ i AS (SELECT candidate_id, coalesce(close_location, (SELECT coalesce(median(clos
         "SELECT candidate_id, ma AS missing_close_location, mb AS missing_return_252, round((a - avg(a) OVER ()) / coalesce(nullif(stddev_pop(a) OVER (), 0), 1), 6) AS z_close_location, round((b - avg(b) OVER ()) / coalesce(nullif(stddev_pop(b) OVER (), 0), 1), 6) AS z_return_252 FROM i"),
     "fingerprint": w(_bars() + ",\ne AS (SELECT instrument_id, count(*) AS n, sha256(string_agg(instrument_id || '|' || signal_date || '|' || source_row_number, chr(10) ORDER BY instrument_id || '|' || signal_date || '|' || source_row_number)) AS h FROM bars GROUP BY 1)", "SELECT sum(n)::BIGINT AS n, sha256(string_agg(instrument_id || ':' || h, chr(10) ORDER BY instrument_id || ':' || h)) AS content_sha256 FROM e"),
 }
+
+# the same statements over candidates on every bar
+_EVERY = {x.lower(): _signals("every_bar", x, "true", "coalesce(return_1, 0)") for x in ("LONG", "SHORT")}
+SQL |= {f"{n}_every_bar": SQL[n].replace(_PROBE, _EVERY["long"]) for n in ("outcome_core", "outcome_accounting")}
+SQL |= {f"{n}_every_bar": SQL[n].replace(_SHORT, _EVERY["long"]) for n in ("research_join", "walkforward_folds", "fold_status", "rank_metrics", "gate_decision")}
+SQL |= {f"{n}_every_bar_{x}": SQL[f"{n}_{x}"].replace(s, _EVERY[x]) for n in ("outcome_horizons", "first_touch", "barriers") for x, s in (("long", _PROBE), ("short", _SHORT))}
