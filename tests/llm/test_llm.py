@@ -241,6 +241,18 @@ def test_decontaminate_hot_copies_of_a_changed_item(spark):
     assert got[0]["item_id"] == 1 and abs(got[0]["score"] - 28 / 30) < 1e-9
 
 
+def test_decontaminate_item_among_repeats(spark):
+    rng = random.Random(13)
+    items = [words(rng, n, 3000) for n in (17, 18, 20, 33, 36) for _ in range(12)]
+    rows = [(1000 + i, words(rng, 120, 3000), "s") for i in range(600)]
+    for k, item in enumerate(items):
+        repeats = f"{items[(7 * k + 5) % 60].split()[3]} " * 60
+        rows.append((k, f"{repeats}{item} {repeats}", "s"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert [k for k in range(60) if (got[k]["item_id"], got[k]["score"]) != (k, 1.0)] == []
+
+
 def test_gradients():
     net = language.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
