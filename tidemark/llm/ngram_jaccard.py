@@ -7,15 +7,20 @@ the content without any one fingerprint, and an unmatched segment then stands fo
 pigeonhole principle it is enough that the smaller document probes any segments with a total weight above H:
 
 * per band, ``allocate`` takes exact or one-deletion segments, whichever costs less by its cost model;
+* a similar pair agrees in at least m - H segments, so a document with fewer segments that any other one has is left out;
 * per document, the probes are the segments with the shortest lists. A segment that no other document has costs nothing,
   so most documents need no probe.
 
-Equal sets collapse into a class first. Links inside a component need no proof, so each bucket first offers one pair for
-each member (a star), components are formed, and only pairs between different components of a bucket are compared after
-that. Of those, only pairs whose shared segments could suffice are verified, on the words themselves.
+Equal sets collapse into a class first. Every probed bucket names one member as its hub, the same one in most buckets of a
+group of copies, and the members of a hub's buckets meet in its group, so the texts travel once for each hub instead of
+once for each pair. ``forest`` verifies a group on whole fingerprint sets and returns a spanning forest: pairs are never
+rows. Groups beyond ``TOKENS`` fingerprints are cut into cells that also get the hub; afterwards only members outside
+the group's largest component are compared with the other cells.
 
 Nulls and empty texts give empty sets, linked with nothing (their component is their own doc_id). Fewer than n words form
-one n-gram. Repeated rows are copies of each other. Other columns of the input are ignored. An empty table gives no rows.
+one n-gram. Repeated rows are copies of each other; rows that share a doc_id but not the text, and rows without doc_id, are
+linked by their own texts like all others (component_id is null only where no linked row has a doc_id). Other columns of
+the input are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,24 +30,26 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucket_labels, by_bucket, doc_slices, hash_words, load, mix, parts, planes, stage, unplanes, utf8, word_bounds
+from ._common import bucket_labels, by_bucket, doc_slices, hash_words, load, mix, parts, planes, stage, unplanes, unstage, utf8, word_bounds
 from .graph import components
 
 _U = np.uint64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
-ROW_COST, PAIR_COST, SHARED = 1.0, 80.0, 0.4
-#: Exact segments for each difference: with more, fewer pairs agree in enough of them by chance.
-SLACK = 1.0
+#: Cost model: an index row, a useless candidate, and the share of fingerprints that unrelated texts have in common.
+ROW_COST, PAIR_COST, SHARED = 1.0, 80.0, 0.1
+#: Segments as multiples of the fewest that the pigeonhole principle needs: more make index rows, but fewer useless candidates.
+SLACKS = (1.0, 1.1, 1.25, 1.5, 2.0, 3.0)
 FLUSH = 1 << 20
-#: Rounds of stars before the remaining pairs of a bucket are compared.
-STARS = 3
+#: Bytes of a key within its partition. Equal bytes of different keys only add candidates.
+KEY = 5
+#: The fingerprints that are verified together.
+TOKENS = 2_000_000
 
 
 # ------------------------------------------------------------------ sets
@@ -86,10 +93,20 @@ def word_set(text: str | None, n: int) -> set:
 # ------------------------------------------------------------------ bands
 
 
+def at_least(m: int, p: float, k: int) -> float:
+    """Chernoff's bound of the chance of k or more hits among m of chance p."""
+    x = k / m
+    if x <= p:
+        return 1.0
+    if x >= 1:
+        return p**m
+    return math.exp(-m * (x * math.log(x / p) + (1 - x) * math.log((1 - x) / (1 - p))))
+
+
 class Scheme:
-    """Bands of sizes, and how many segments of which weight each has."""
+    """Bands of sizes, and how many segments of which weight each has. ``counts``: the sets of each band, as measured."""
 
-    def __init__(self, num: int, den: int, growth: float = 1.5, top: int = 1 << 31):
+    def __init__(self, num: int, den: int, counts: tuple[int, ...] = (), growth: float = 1.5, top: int = 1 << 31):
         self.num, self.den = num, den
         self.lo, self.hi = [], []
         lo = 1
@@ -99,7 +116,8 @@ class Scheme:
             self.hi.append(hi)
             lo = hi + 1
         self.his = np.array(self.hi)
-        self.kinds = [self.allocate(a, b) for a, b in zip(self.lo, self.hi, strict=True)]
+        # a band also holds sets of the next one
+        self.kinds = [self.allocate(a, b, sum(counts[i : i + 2])) for i, (a, b) in enumerate(zip(self.lo, self.hi, strict=True))]
 
     def differ(self, s: int) -> int:
         """The most fingerprints in which a set of this size and a similar one that is no smaller can differ."""
@@ -112,15 +130,22 @@ class Scheme:
     def band(self, s: int) -> int:
         return int(np.searchsorted(self.his, s))
 
-    def allocate(self, lo: int, hi: int) -> tuple[int, int]:
-        """(segments, weight of each): exact or one-deletion segments by estimated index rows and useless pairs."""
-        h, size = self.differ(hi), (lo + hi) / 2
-        exact, near = math.ceil(SLACK * (h + 1)), math.ceil((h + 1) / 2)
-        chance = lambda tokens: SHARED ** max(tokens, 0.0)
-        cost1 = ROW_COST * exact + PAIR_COST * exact * chance(size / exact)
-        t = size / near
-        cost2 = ROW_COST * (near + size) + PAIR_COST * near * (chance(t) + t * chance(t - 1))
-        return (exact, 1) if cost1 <= cost2 else (near, 2)
+    def most(self, t: int, band: int) -> int:
+        """The most fingerprints in which a set of size t and a similar, smaller one of the band can differ."""
+        return (self.den - self.num) * (min(self.hi[band], t) + t) // (self.den + self.num)
+
+    def allocate(self, lo: int, hi: int, others: int) -> tuple[int, int]:
+        """(segments, weight of each): the exact or one-deletion segments with the least index rows and useless candidates."""
+        h, size = self.differ(hi), (lo + hi) // 2
+        found = []
+        for slack in SLACKS:
+            for weight in (1, 2):
+                m = math.ceil(slack * math.ceil((h + 1) / weight))
+                miss = 1 - (1 - SHARED) / m
+                match = miss**size + (weight - 1) * (1 - SHARED) * size / m * miss ** (size - 1)
+                rows = m + (weight - 1) * size
+                found.append((ROW_COST * rows + PAIR_COST * others * at_least(m, match, m - h // weight), weight, m))
+        return min(found)[:0:-1]
 
     @lru_cache(maxsize=4096)  # noqa: B019
     def plans(self, s: int) -> tuple[tuple[int, bool], ...]:
@@ -165,12 +190,12 @@ def _sets(n: int):
             for s in shingle_sets(data, offsets, n):
                 sizes.append(len(s))
                 ids.append(set_id(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "tid", "n_shingles", "sid"])
 
     return run
 
 
-def _index(n: int, num: int, den: int, pids: int):
+def _index(n: int, scheme: Scheme, pids: int):
     """Rows (pid, blob): the keys of one bucket from some documents, packed."""
 
     def flush(keys, docs, segs, sids, sizes):
@@ -181,11 +206,10 @@ def _index(n: int, num: int, den: int, pids: int):
             used, doc = np.unique(docs[at], return_inverse=True)
             head = np.array([len(at), len(used)], np.int64).tobytes()
             out_p.append(labels[pid])
-            out_b.append(b"".join([head, planes(keys[at]), planes(doc.astype(np.uint32)), planes(segs[at]), planes(sids[used >> 8]), planes((sizes[used >> 8] << 8) | (used & 255))]))
+            out_b.append(b"".join([head, planes(keys[at])[: KEY * len(at)], planes(doc.astype(np.uint32)), planes(segs[at]), planes(sids[used >> 8]), planes((sizes[used >> 8] << 8) | (used & 255))]))
         return pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_b, pa.binary())], ["pid", "blob"])
 
     def run(batches):
-        scheme = Scheme(num, den)
         seen: set[int] = set()
         keys, docs, segs, sids, sizes, held = [], [], [], [], [], 0
         for batch in batches:
@@ -211,22 +235,27 @@ def _index(n: int, num: int, den: int, pids: int):
     return run
 
 
-SHARED_ROWS = "key long, sid long, n long, band int, seg int, probe boolean, cnt long, hub long, hub_n long, base int, segments int, weight int"
+SHARED_ROWS = "key long, sid long, n long, band int, seg int, probe boolean, base int, weight int, least int"
+
 
+def _shared(scheme: Scheme):
+    """Of a partition's index rows, those with keys that several sets have and at least one of them probes.
 
-def _shared(num: int, den: int):
-    """Of a partition's index rows, those with keys that several sets have and at least one of them probes."""
+    ``base`` plus the weight of its shared segments is what a prober has to probe, ``least`` the shared segments that any
+    similar pair with this set needs.
+    """
 
     def run(batches):
-        scheme = Scheme(num, den)
         cols = ([], [], [], [], [])
         for batch in batches:
-            for blob in batch.column("blob"):
+            for label, blob in zip(batch.column("pid").to_numpy(), batch.column("blob"), strict=True):
                 b = memoryview(blob.as_buffer())
-                nk, nd = np.frombuffer(b, np.int64, 2)
+                nk, nd = (int(x) for x in np.frombuffer(b, np.int64, 2))
                 at = 16
-                key = unplanes(b, _U, nk, at)
-                doc = unplanes(b, np.uint32, nk, at := at + 8 * nk)
+                key = np.zeros((nk, 8), np.uint8)
+                key[:, :KEY] = np.frombuffer(b, np.uint8, KEY * nk, at).reshape(KEY, nk).T
+                key = key.view(_U).ravel() | _U(int(label) << 8 * KEY)
+                doc = unplanes(b, np.uint32, nk, at := at + KEY * nk)
                 seg = unplanes(b, np.int32, nk, at := at + 4 * nk)
                 sid = unplanes(b, np.int64, nd, at := at + 4 * nk)
                 size = unplanes(b, np.int64, nd, at + 8 * nd)
@@ -251,135 +280,201 @@ def _shared(num: int, den: int):
             return
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.concatenate([heads, [len(key)]]))
-        keep = (count > 1) & np.logical_or.reduceat(probe, heads)
-        hub = np.repeat(heads, count)
-        rows = np.repeat(keep, count)
-        cnt = np.repeat(count, count)
+        rows = np.repeat((count > 1) & np.logical_or.reduceat(probe, heads), count)
         if not rows.any():
             return
         band, size = (size & 255) >> 1, size >> 8
-        tables = {(int(s), int(b)): (scheme.differ(int(s)) + 1 - scheme.kinds[b][0] * scheme.kinds[b][1], *scheme.kinds[b]) for s, b in np.unique(np.stack([size[rows], band[rows]], axis=1), axis=0)}
+
+        def table(s: int, b: int, probes: bool) -> tuple[int, int, int]:
+            m, w = scheme.kinds[b]
+            return scheme.differ(s) + 1 - m * w, w, max(1, m - (scheme.differ(s) if probes else scheme.most(s, b)) // w)
+
+        tables = {(s, b, p): table(s, b, p) for s, b, p in set(zip(size[rows].tolist(), band[rows].tolist(), probe[rows].tolist(), strict=True))}
         signed = key.view(np.int64)
         for at in np.array_split(np.flatnonzero(rows), max(1, int(rows.sum()) // 100_000)):
-            own = np.array([tables[x] for x in zip(size[at].tolist(), band[at].tolist(), strict=True)], np.int32)
-            arrays = [signed[at], sid[at], size[at], band[at].astype(np.int32), seg[at], probe[at], cnt[at], sid[hub[at]], size[hub[at]], own[:, 0], own[:, 1], own[:, 2]]
+            own = np.array([tables[x] for x in zip(size[at].tolist(), band[at].tolist(), probe[at].tolist(), strict=True)], np.int32)
+            arrays = [signed[at], sid[at], size[at], band[at].astype(np.int32), seg[at], probe[at], own[:, 0], own[:, 1], own[:, 2]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [x.split()[0] for x in SHARED_ROWS.split(", ")])
 
     return run
 
 
-def _probes(shared: DataFrame) -> DataFrame:
-    """For each document the cheapest segments whose weights, with those of unshared ones, exceed H: ``sid, n, key, hub, hub_n``."""
-    probers = shared.filter("probe").withColumnRenamed("seg", "sg")
-    segs = probers.groupBy("sid", "base", "weight", "sg").agg(F.sum("cnt").alias("cost"))
+def _hub_members(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hub, sid, n``: for each probed bucket its members, under the bucket's hub; and a staged table that is no longer needed."""
+    # a set of a band needs enough segments that any other set has
+    enough = shared.groupBy("sid", "band").agg(F.count_distinct("seg").alias("segs"), F.max("least").alias("least")).filter("segs >= least").select("sid", "band")
+    rows = stage(shared.join(enough, ["sid", "band"], "left_semi"), "rows")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("cnt"), F.bool_or("probe").alias("any"), F.min_by("sid", F.xxhash64("sid")).alias("hub"))
+    probers = rows.filter("probe").join(buckets.filter("cnt > 1").select("key", "cnt", "hub"), "key")
+    # the cheapest segments whose weights, with those of unshared ones, exceed H
+    segs = probers.groupBy("sid", "base", "weight", "seg").agg(F.sum("cnt").alias("cost"), F.collect_list(F.struct("key", "hub")).alias("keys"))
     own = Window.partitionBy("sid")
-    segs = segs.withColumn("need", F.col("base") + F.col("weight") * F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("cost", "sg")))
-    picked = segs.filter((F.col("need") > 0) & (F.col("weight") * (F.col("rank") - 1) < F.col("need"))).select("sid", "sg")
-    return probers.join(picked, ["sid", "sg"]).select("sid", "n", "key", "hub", "hub_n")
+    segs = segs.withColumn("need", F.col("base") + F.col("weight") * F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("cost", "seg")))
+    picked = segs.filter((F.col("need") > 0) & (F.col("weight") * (F.col("rank") - 1) < F.col("need"))).select(F.inline("keys")).distinct()
+    members = stage(rows.select("key", "sid", "n").join(picked, "key").select("hub", "sid", "n").distinct(), "members")
+    return members, rows
 
 
 # ------------------------------------------------------------------ verification
 
 
+def forest(sets: list, labels: np.ndarray, pivots: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components of the sets, as far as ``labels`` do not.
+
+    Every pair with at least one of ``pivots`` counts. A pivot is compared with all sets at once; one that is already in the
+    largest component needs no comparison, as any link to a set outside is found from that set's side.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, ids, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[ids]
+    ids, doc = (np.cumsum(shared) - 1)[ids[keep]], doc[keep]
+    lens = count[shared]
+    starts = np.cumsum(lens) - lens
+    postings = doc[np.argsort(ids, kind="stable")]
+    cuts = np.searchsorted(doc, np.arange(len(sets) + 1))
+    _, label = np.unique(labels, return_inverse=True)
+    todo, links, main = pivots.copy(), [], -1
+    while True:
+        left = np.flatnonzero(todo & (label != main))
+        if not len(left):
+            return links
+        i = int(left[0])
+        todo[i] = False
+        own = ids[cuts[i] : cuts[i + 1]]
+        if len(own):
+            k = lens[own]
+            at = np.repeat(starts[own] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            both = np.bincount(postings[at], minlength=len(sets))
+            near = np.flatnonzero(den * both >= num * (sizes[i] + sizes - both))
+            for j in near:
+                if label[j] != label[i]:
+                    links.append((i, int(j)))
+                    label[label == label[j]] = label[i]
+        main = int(np.argmax(np.bincount(label)))
+
+
 def _verify(n: int, num: int, den: int):
-    def run(frames):
-        last: dict[int, set] = {}
-        for f in frames:
-            keep = []
-            for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"], strict=True):
-                if len(last) > 64:
-                    last.clear()
-                x = last.get(a)
-                if x is None:
-                    x = last[a] = word_set(ta, n)
-                y = last.get(b)
-                if y is None:
-                    y = last[b] = word_set(tb, n)
-                both = len(x & y)
-                keep.append(den * both >= num * (len(x) + len(y) - both) > 0)
-            yield f.loc[keep, ["a", "b"]]
+    """Links ``a, b`` of each cell. Rows come sorted by ``hub, cell``."""
+
+    def run(batches):
+        now, sets, sids, roots, pivots, out = None, [], [], [], [], []
+
+        def close():
+            if len(sets) > 1:
+                order = np.argsort(np.array(sids) != now[0], kind="stable")  # the hub first
+                found = forest([sets[x] for x in order], np.array(roots)[order], np.array(pivots)[order], num, den)
+                out.extend((sids[order[i]], sids[order[j]]) for i, j in found)
+            for x in (sets, sids, roots, pivots):
+                x.clear()
+
+        def flush():
+            a = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a.min(axis=1)), pa.array(a.max(axis=1))], ["a", "b"])
+
+        for batch in batches:
+            hub, cell, sid, root, pivot = (batch.column(c).to_pylist() for c in ("hub", "cell", "sid", "root", "pivot"))
+            for i, s in enumerate(shingle_sets(*utf8(batch.column("text")), n)):
+                if (hub[i], cell[i]) != now:
+                    close()
+                    now = (hub[i], cell[i])
+                sets.append(s)
+                sids.append(sid[i])
+                roots.append(root[i])
+                pivots.append(pivot[i])
+            if len(out) > 10_000:
+                yield flush()
+        close()
+        if out:
+            yield flush()
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    a = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(b, "b").join(a, "a").mapInPandas(_verify(n, num, den), "a long, b long")
+def _links(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links among ``rows(hub, cell, sid, root, pivot)``."""
+    cells = rows.join(texts, "sid").repartition("hub", "cell").sortWithinPartitions("hub", "cell")
+    return stage(cells.select("hub", "cell", "sid", "root", "pivot", "text").mapInArrow(_verify(n, num, den), "a long, b long"), "links")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, tokens: int = TOKENS) -> DataFrame:
     """``doc_id, n_shingles, component_id``: documents whose n-gram sets have similarity num/den or more are linked.
 
-    ``docs`` needs ``doc_id`` (long) and ``text``. component_id is the smallest doc_id that links reach.
+    ``docs`` needs ``doc_id`` (long) and ``text``. component_id is the smallest doc_id that links reach. ``tokens`` bounds the
+    fingerprints that one task compares at a time; it changes no result.
+    """
+    sets, final = _joined(docs, n, num, den, tokens)
+    out = sets.join(final, "sid", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Of rows that are equal in doc_id and text one stays. A null doc_id comes after all others. Rows without words are nobody's
+    near-duplicates and stay.
     """
+    sets, final = _joined(docs, n, num, den, TOKENS)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("k_doc"), F.col("tid").alias("k_tid"))
+    kept = sets.join(final, "sid").groupBy("root").agg(F.min(order).alias("k")).select("k.k_doc", "k.k_tid")
+    tid = "_tidemark_tid"
+    rows = docs.withColumn(tid, F.xxhash64(F.col("text").cast("string")))
+    found = rows.join(kept, (F.col(tid) == F.col("k_tid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")), "left_semi")
+    wordless = docs.filter(F.col("text").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return found.dropDuplicates(["doc_id", tid]).select(*docs.columns).unionByName(wordless)
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, tokens: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, tid, n_shingles, sid`` of each row, and ``sid, component_id, root`` of each set."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(docs.mapInArrow(_sets(n), "doc_id long, n_shingles long, sid long"), "sets")
-    classes = sets.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
+    sets = stage(docs.mapInArrow(_sets(n), "doc_id long, tid long, n_shingles long, sid long"), "sets")
+    # one row of each set stands for it: the one with the smallest doc_id
+    classes = sets.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), F.col("tid").alias("tid"))).alias("r")).select("sid", "r.rep", "r.tid")
 
     pids = parts(spark)
-    rows = docs.select("text").mapInArrow(_index(n, num, den, pids), "pid int, blob binary").repartition(pids, "pid")
-    shared = stage(rows.mapInArrow(_shared(num, den), SHARED_ROWS), "shared")
-    probes = stage(_probes(shared), "probes")
-
-    fits = lambda x, y: (F.col(x) <= F.col(y)) & (F.lit(num) * F.col(y) <= F.lit(den) * F.col(x))
-    fit_any = lambda x, y: fits(x, y) | fits(y, x)
-    used = shared.join(probes.select("key").distinct(), "key", "left_semi").select("sid").distinct()
-    reps = used.join(classes, "sid")
-    texts = stage(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "texts")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        """For each document the partner with which it shares most keys."""
-        pairs = pairs.groupBy("sid", "hub").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-        return pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
-
-    tried = stage(best(probes.filter((F.col("sid") != F.col("hub")) & fit_any("n", "hub_n"))), "pairs")
-    links = stage(_links(tried, texts, n, num, den), "links")
+    bands = Scheme(num, den).hi
+    band = F.size(F.filter(F.lit(bands), lambda hi: hi < F.col("n_shingles")))
+    counts = {r["band"]: r["count"] for r in sets.filter("n_shingles > 0").groupBy(band.alias("band")).count().collect()}  # one row a band
+    scheme = Scheme(num, den, tuple(counts.get(i, 0) for i in range(len(bands))))
+    rows = docs.select("text").mapInArrow(_index(n, scheme, pids), "pid int, blob binary").repartition(pids, "pid")
+    shared = stage(rows.mapInArrow(_shared(scheme), SHARED_ROWS), "shared")
+    members, kept = _hub_members(shared)
+    unstage(shared, kept)
+
+    groups = members.groupBy("hub").agg(F.count("*").alias("c"), F.ceil(F.sum("n") / F.lit(tokens)).cast("int").alias("cells")).filter("c > 1")
+    members = members.join(groups.select("hub", "cells"), "hub")
+    wanted = members.select("sid").distinct().join(classes, "sid").select(F.col("sid"), F.col("rep").alias("w_rep"), F.col("tid").alias("w_tid"))
+    texts = docs.join(wanted, (docs["tid"] == wanted["w_tid"]) & docs["doc_id"].eqNullSafe(wanted["w_rep"])).select("sid", "text")
+    texts = stage(texts.dropDuplicates(["sid"]), "texts")
+
+    cell = F.when(F.col("sid") == F.col("hub"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")))
+    first = members.select("hub", "sid", F.explode(cell).alias("cell"), F.col("sid").alias("root"), F.lit(True).alias("pivot"))
+    links = _links(first, texts, n, num, den)
     labels = components(links)
-    keyed = stage(shared.select("key", "sid", "n", "band", "segments", "weight").join(probes.select("key").distinct(), "key", "left_semi"), "keyed")
-    # which segments of a document any other one has: a pair agrees in no others
-    bits = shared.groupBy("sid", "band", F.shiftright("seg", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, seg & 63)")).alias("bits"))
-    masks = bits.groupBy("sid", "band").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("mask"))
-
-    def mixed() -> DataFrame:
-        """Members of the buckets that several components meet in; ``main`` has most of the bucket."""
-        members = keyed.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").select("key", "main")
-        return stage(members.join(main, "key"), "members")
-
-    # a few more stars around other members of each bucket's main component; then all pairs that are left
-    members = mixed()
-    for i in range(STARS):
-        hubs = members.filter("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("h"), F.col("sid").alias("hub"), F.col("n").alias("hub_n"))).alias("s")).select("key", "s.hub", "s.hub_n")
-        pairs = best(members.filter("root != main").join(hubs, "key").filter(fit_any("n", "hub_n"))).join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        more = stage(_links(pairs, texts, n, num, den), "links")
-        tried = tried.union(pairs)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        labels = components(links)
-        members = mixed()
-    members = stage(members.join(masks, ["sid", "band"]), "members")
-    x = members.join(probes.select("key", "sid"), ["key", "sid"], "left_semi").select("key", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("mask").alias("mx"), "segments", "weight", "main")
-    y = members.select("key", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("mask").alias("my"), (F.col("root") == F.col("main")).alias("in_main"))
-    agree = F.expr("aggregate(map_keys(mx), 0, (a, k) -> a + bit_count(mx[k] & coalesce(my[k], 0L)))")
-    close = F.col("weight") * (F.col("segments") - agree) <= F.floor((F.lit(den - num) * (F.col("nx") + F.col("ny"))) / F.lit(den + num))
-    strays = x.filter("rx != main").drop("main").join(y, "key")
-    inside = x.filter("rx = main").drop("main").join(y.filter("not in_main"), "key")
-    cross = strays.unionByName(inside).filter(F.expr("rx != ry") & fits("nx", "ny") & close)
-    pairs = stage(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = stage(_links(pairs, texts, n, num, den), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    large = groups.filter("cells > 1").select("hub")
+    if not large.isEmpty():
+        # cells of a large group meet in the members that are not in its main component
+        rooted = stage(members.join(large, "hub", "left_semi").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
+        main = rooted.groupBy("hub", "root").agg(F.count("*").alias("c")).groupBy("hub").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+        rooted = rooted.join(main, "hub").withColumn("pivot", F.col("root") != F.col("main"))
+        strays = rooted.filter("pivot").groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(tokens)).cast("int").alias("blocks"))
+        rooted = rooted.join(strays, "hub")
+        block = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")
+        place = F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")
+        cells = "hub", "sid", "root", "pivot"
+        left = rooted.filter("pivot").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(*cells, (block * F.col("cells") + F.col("i")).alias("cell"))
+        right = rooted.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.col("pivot") & (F.col("j") == block)).filter("not own").select("hub", "sid", "root", F.lit(False).alias("pivot"), (F.col("j") * F.col("cells") + place).alias("cell"))
+        more = _links(left.unionByName(right), texts, n, num, den)
+        if not more.isEmpty():
+            labels = components(links.union(more))
+    unstage(texts, members)
 
     named = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = named.join(least, "root").select("sid", "component_id")
-    out = sets.join(final, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return sets, named.join(least, "root").select("sid", "component_id", "root")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
