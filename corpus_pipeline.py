@@ -2,8 +2,8 @@
 items, mix the sources and write token files.
 
 Each stage takes (spark, docs, sf_dir) and works on what the stage before kept; all but the last return the columns of docs.
-Rows without doc_id have no identity: the second stage keeps them as they are. Null and empty texts are kept by the first
-three stages (empty texts are nobody's near-duplicates). Of rows that repeat a doc_id the second stage keeps one.
+Null and empty texts are kept by the first three stages (empty texts are nobody's near-duplicates). Rows that repeat a doc_id
+with other texts are documents of their own; of rows that repeat doc_id and text the second stage keeps one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import load, stage
 from tidemark.llm.decontaminate import with_matches
 from tidemark.llm.mixing import mixed_documents
-from tidemark.llm.ngram_jaccard import ngram_jaccard_join
+from tidemark.llm.ngram_jaccard import one_of_each_group
 from tidemark.llm.token_files import token_files
 from tidemark.llm.toxicity import learn, with_score
 
@@ -27,11 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_jaccard_join(docs, n=5, num=80, den=100)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_tidemark_id")).distinct()
-    known = docs.filter("doc_id is not null")
-    kept = known.join(keep, known["doc_id"].cast("long") == F.col("_tidemark_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    return one_of_each_group(docs, n=5, num=80, den=100)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
