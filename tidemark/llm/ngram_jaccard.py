@@ -434,7 +434,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, tokens: int) -> tuple[D
     # one row of each set stands for it: the one with the smallest doc_id
     classes = sets.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), F.col("tid").alias("tid"))).alias("r")).select("sid", "r.rep", "r.tid")
 
-    pids = parts(spark)
+    pids = 2 * parts(spark)  # a task holds its keys in memory
     bands = Scheme(num, den).hi
     band = F.size(F.filter(F.lit(bands), lambda hi: hi < F.col("n_shingles")))
     counts = {r["band"]: r["count"] for r in sets.filter("n_shingles > 0").groupBy(band.alias("band")).count().collect()}  # one row a band

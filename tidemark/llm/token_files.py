@@ -34,7 +34,7 @@ STEP = 512
 #: Tokens after which a task starts its next file.
 ROLL = 1 << 24
 #: Characters of texts whose different words are found together, and words that are encoded together.
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 TOGETHER = 4096
 _BITS = np.array([bin(x).count("1") for x in range(256)], np.int64)
 
@@ -147,15 +147,19 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        out, held, size = [], [], 0
+    def encode_each(self, texts):
+        """The ids of each text, of which a chunk is held at a time."""
+        held, size = [], 0
         for text in texts:
-            held.append(text or "")
+            held.append((text.as_py() if isinstance(text, pa.Scalar) else text) or "")
             size += len(held[-1])
             if size >= CHUNK:
-                out += self._chunk(held)
+                yield from self._chunk(held)
                 held, size = [], 0
-        return out + self._chunk(held)
+        yield from self._chunk(held)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        return list(self.encode_each(texts))
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         hard = [i for i, x in enumerate(texts) if not self.by_word or self.RUN.search(x) or any(a in x for a in self.added)]
@@ -170,7 +174,9 @@ class Encoder:
         length = np.array([len(x) for x in table], np.int64)
         start, n = np.cumsum(length) - length, length[which]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = np.concatenate([np.zeros(0, self.kind), *table])[np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])]
+        place = np.repeat(start[which] - ends[:-1], n)
+        place += np.arange(ends[-1])
+        ids = np.concatenate([np.zeros(0, self.kind), *table])[place]
         at = ends[offsets]
         found = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         for i in hard:
@@ -238,7 +244,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
         end = np.array([end_id], code.kind)
         for batch in batches:
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), code.encode_many(batch.column("text").to_pylist()), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), code.encode_each(batch.column("text")), strict=True):
                 ids += [own, end]
                 docs.append(doc_id)
                 sizes.append(len(own) + 1)
