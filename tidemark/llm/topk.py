@@ -4,10 +4,10 @@ Vectors are cut into 1, 4 and 16 segments. For each segment, length * mean * mea
 root sums of squares) bounds the segment's share of the inner product from above, and with it the squared distance
 |q|^2 + |v|^2 - 2 <q, v> from below. For all segments this is again an inner product of short statistics vectors. Bounds go
 from coarse to fine: the k candidates with the best bound give a first threshold, candidates below it are dropped at each
-level, and only survivors are scored exactly in 64-bit integers.
+level, and only survivors are scored exactly, in integers. A score that a long cannot hold raises an error.
 
-Queries and candidates meet in a grid of blocks, each bounded in size; every block pair gives at most k rows a query, and a
-window takes the k best of those.
+Queries and candidates meet in a grid of blocks of at most about ``BLOCK`` queries and ``ROWS`` candidates, whatever the
+table's size; every block pair gives at most k rows a query, and a window takes the k best of those.
 
 Vectors that are null, empty or hold null or non-finite components take no part, as do rows without id. Vectors of different
 lengths do not meet. Equal scores go to the smaller id. Rows that repeat a query's id are the query itself; a repeated
@@ -24,13 +24,26 @@ from pyspark.sql import functions as F
 from ._common import load, parts
 
 LEVELS = (1, 4, 16)
-#: Most queries in one block of the grid.
-BLOCK = 8192
+#: About the most queries and candidates in one cell of the grid.
+BLOCK, ROWS = 8192, 65_536
 OUT = "query_id long, vec_id long, score long"
 
 
 def _matrix(frame: pd.DataFrame, dim: int) -> np.ndarray:
-    return np.array(frame["v"].tolist(), np.float64).reshape(-1, dim)
+    return np.concatenate(frame["v"].to_numpy()).astype(np.float64, copy=False).reshape(-1, dim)
+
+
+def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Integer inner products of whole-numbered vectors."""
+    if not len(v):
+        return np.zeros(0, np.int64)
+    if (np.abs(v) @ np.abs(q)).max() < 2.0**62:  # no sum or product leaves 64 bits
+        return v.astype(np.int64) @ q.astype(np.int64)
+    own = [int(x) for x in q]
+    out = [sum(a * int(b) for a, b in zip(own, row, strict=True)) for row in v]
+    if any(not -(2**63) <= x < 2**63 for x in out):
+        raise OverflowError("an inner product does not fit into a long")
+    return np.array(out, np.int64)
 
 
 def statistics(m: np.ndarray, segments: int) -> np.ndarray:
@@ -60,7 +73,7 @@ def search(q_ids, q: np.ndarray, v_ids, v: np.ndarray, k: int) -> pd.DataFrame:
                     best = alive[np.argpartition(-bound, k - 1)[:k]]
                     threshold = np.sort(v[best] @ q[i])[0]
                     alive = alive[bound >= threshold]
-        score = np.rint(v[alive] @ q[i]).astype(np.int64)
+        score = exact_scores(q[i], v[alive])
         top = np.lexsort((v_ids[alive], -score))[:k]
         found.append((np.full(len(top), q_ids[i]), v_ids[alive][top], score[top]))
     cols = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
@@ -86,8 +99,9 @@ def topk_search(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 5
     whole = F.transform(doubles, lambda x: F.floor(x * scale).cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), doubles.alias("d"), good.alias("good"), whole.alias("v")).filter("good and id is not null and size(d) > 0").select("id", "v", F.size("v").alias("dim"))
     queries = rows.filter(F.col("id") % every == 0)
-    blocks = max(1, -(-queries.count() // BLOCK))
-    groups = max(4, parts(spark))
+    sizes = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("id") % every == 0).alias("queries")).first()
+    blocks = max(1, -(-sizes["queries"] // BLOCK))
+    groups = max(4, parts(spark), -(-sizes["rows"] // ROWS))
     q = queries.withColumn("qb", F.pmod(F.hash("id"), F.lit(blocks))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     v = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["g", "qb", "dim"]
