@@ -6,8 +6,8 @@ kind's last match, and matches from there, so each kind's base spans equal those
 A match that fails its check is dropped and its text is not tried again.
 
 Base kinds: email; ip (parts at most 255); card (13 to 19 digits passing Luhn); phone (9 to 15 digits). The method adds url
-(scheme, host and rest without trailing punctuation), iban (mod 97) and account (a cue word, then an identifier with at least
-four digits). Spans are code points, the end exclusive; kinds are judged on their own, so spans of two kinds can overlap.
+(scheme, host and rest without trailing punctuation), iban (mod 97) and account (a cue word in any case, then a whole
+identifier of any length with at least four digits). Spans are code points, the end exclusive; kinds are judged on their own, so spans of two kinds can overlap.
 
 Null and empty texts have no spans. Repeated rows give repeated results. An empty table gives no rows. Other columns are
 ignored.
@@ -39,7 +39,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DIGITS = frozenset("0123456789")
 URL = re.compile(r"[^\s<>\"'`|{}]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-VALUE = re.compile(r"(?:\s{0,2}(?:number|no\.?|id))?[\s:=#\"']{1,5}([A-Za-z0-9](?:[A-Za-z0-9-]{4,62})[A-Za-z0-9])", re.IGNORECASE)
+VALUE = re.compile(r"(?:\s{0,2}(?:number|no\.?|id))?[\s:=#\"']{1,5}([A-Za-z0-9][A-Za-z0-9-]{4,}[A-Za-z0-9])", re.IGNORECASE)
+SMALL = {c: c + 32 for c in range(65, 91)}
 SCHEMES = ("http", "https", "ftp", "ftps", "ssh", "ws", "wss", "mailto", "file", "s3", "git")
 CUES = ("account", "acct", "passport", "ssn", "token", "api_key", "apikey", "secret", "customer", "member", "policy")
 
@@ -57,10 +58,8 @@ def automaton() -> ahocorasick.Automaton:
                 a.add_word(f"{x}{between}{y}", ("card", 2 + len(between)))
     a.add_word("://", ("url", 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("account", len(form)))
-    for form in ("IBAN", "iban", "Iban"):
-        a.add_word(form, ("iban", 4))
+        a.add_word(cue, ("account", len(cue)))
+    a.add_word("iban", ("iban", 4))
     a.make_automaton()
     return a
 
@@ -90,7 +89,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return found
     last = dict.fromkeys(KINDS, 0)
-    for end, (kind, size) in automaton().iter(text):
+    for end, (kind, size) in automaton().iter(text.translate(SMALL)):  # cues in any case, at the same places
         at, stop = end + 1 - size, last[kind]
         if at < stop and kind != "ip":
             continue
