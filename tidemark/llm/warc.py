@@ -2,13 +2,16 @@
 
 The source plans one partition for each archive file and pushes filters on ``record_type`` and other header columns down:
 headers are parsed first, records that fail are skipped without looking at their content, and payloads are decoded only if
-the option ``payload`` asks for them. Records are compressed one by one, so a reader passes over a record without holding it.
+the option ``payload`` asks for them. Records are compressed one by one. Each member names its length in the gzip header
+(subfield SL), so what is left of an unwanted record is passed over without being inflated; members without it, and plain
+archives, are read through. A record's block ends by its Content-Length; only blocks of type application/http are split
+into HTTP head and payload, so records of any other type can stand between pages.
 
 Of records with equal payloads (at least ``least`` bytes, by SHA-1) the one with the smallest page_id is a response and
 stores the payload, the others are revisits that refer to it. Null html is an empty payload. Rows that repeat the page_id of
-their response are responses too. A null page_id has no identity: such a record is a response unless another page has its
-payload, and comes back as null. An empty table gives no files and no rows. Columns other than page_id, url and html are
-ignored.
+their response are responses too. A null page_id has no identity: such a record is a revisit if a page with an id has its
+payload, else a response, and comes back as null. An empty table gives no files and no rows. Columns other than page_id,
+url and html are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -60,8 +64,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if refers_to is not None:
         head += _header("WARC-Profile", PROFILE) + _header("WARC-Refers-To", f"<urn:x-page:{refers_to}>")
     head += _header("Content-Type", "application/http; msgtype=response") + _header("Content-Length", len(block))
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return packer.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
+    return member(head.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member that names its own length and that of its content in the subfield SL, if 32 bits hold them."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    size = 10 + 2 + 12 + len(body) + 8
+    if max(size, len(data)) >= 1 << 32:
+        return struct.pack("<BBBBIBB", 0x1F, 0x8B, 8, 0, 0, 0, 255) + body + tail
+    return struct.pack("<BBBBIBBH2sHII", 0x1F, 0x8B, 8, 4, 0, 0, 255, 12, b"SL", 8, size, len(data)) + body + tail
 
 
 def _writer(folder: str):
@@ -87,19 +101,28 @@ def _writer(folder: str):
     return run
 
 
+#: Pages of a payload from which they are spread over ``SALTS`` tasks.
+HOT, SALTS = 1000, 32
+
+
 def write_warc(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes archives and returns their manifest, ``path, records``.
 
-    The page of each payload's response is a minimum over digests, combined before the shuffle; only the ids of revisits go
-    back to the pages, by page_id, so a payload that many pages share does not gather them in one task.
+    The page of each payload's response is a minimum over digests, combined before the shuffle. Digests that many pages share
+    meet their pages in salted tasks, the others by digest; only ids of revisits go back to the pages.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     body = F.coalesce("html", F.lit(""))
     slim = stage(pages.filter(F.octet_length(body) >= least).select("page_id", F.unhex(F.sha1(body.cast("binary"))).alias("sha")), "digests")
-    first = slim.groupBy("sha").agg(F.min("page_id").alias("refers_to"))
-    again = slim.join(first, "sha").filter("page_id is not null and page_id <> refers_to").select("page_id", "refers_to", "sha").distinct()
+    first = stage(slim.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "shared")
+    hot = first.filter(F.col("n") >= HOT).select("sha", F.col("first").alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    both = slim.withColumn("salt", salt).join(hot, ["sha", "salt"], "left")
+    cold = both.filter("hot is null").select("page_id", "sha").join(first.filter(F.col("n") < HOT).select("sha", "first"), "sha")
+    found = cold.unionByName(both.filter("hot is not null").select("page_id", "sha", F.col("hot").alias("first")))
+    again = found.filter("first is not null and not (page_id <=> first)").distinct().select(F.col("page_id").alias("again"), F.col("sha").alias("again_sha"), F.col("first").alias("refers_to"))
     own = pages.withColumn("sha", F.unhex(F.sha1(body.cast("binary"))))
-    rows = own.join(again, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
+    rows = own.join(again, own["page_id"].eqNullSafe(F.col("again")) & (F.col("sha") == F.col("again_sha")), "left").select("page_id", "url", "html", "refers_to")
     return stage(rows.mapInArrow(_writer(shared_dir(pages.sparkSession, "warc")), "path string, records long"), "manifest")
 
 
@@ -112,26 +135,67 @@ class ArchivePartition(InputPartition):
 
 
 class _Stream:
-    """The decompressed bytes of an archive, record by record, with no more than one piece in memory."""
+    """The content of an archive, record by record, with no more than one piece in memory; ``inflated`` counts its bytes."""
 
     PIECE = 1 << 18
 
     def __init__(self, raw):
-        self.raw, self.gz, self.buffer, self.over = raw, zlib.decompressobj(47), bytearray(), False
+        self.raw, self.data, self.gz, self.buffer, self.inflated = raw, b"", None, bytearray(), 0
+        self.plain = False
+        self.left = self.total = None  # raw and inflated bytes that the member still has, where it says so
+
+    def _fill(self, least: int) -> bool:
+        while len(self.data) < least:
+            piece = self.raw.read(self.PIECE)
+            if not piece:
+                return False
+            self.data += piece
+        return True
+
+    def _begin(self) -> bool:
+        """At the start of a member: whether there is one, and how long it is."""
+        self.gz = self.left = self.total = None
+        if not self._fill(1):
+            return False
+        if self.plain or not self._fill(2) or self.data[:2] != b"\x1f\x8b":
+            self.plain = True
+            return True
+        self.gz = zlib.decompressobj(31)
+        if self._fill(12) and self.data[3] & 4 and self._fill(12 + (size := int.from_bytes(self.data[10:12], "little"))):
+            extra = self.data[12 : 12 + size]
+            while len(extra) >= 4:
+                name, n = extra[:2], int.from_bytes(extra[2:4], "little")
+                if name == b"SL" and n == 8:
+                    self.left, self.total = struct.unpack("<II", extra[4:12])
+                extra = extra[4 + n :]
+        return True
 
     def _more(self) -> bool:
-        data = self.gz.unused_data if self.gz.eof else b""
-        if self.gz.eof:
-            self.gz = zlib.decompressobj(47)
-        data = data or self.raw.read(self.PIECE)
-        if not data:
+        if (self.gz is None or self.gz.eof) and not self._begin():
             return False
-        self.buffer += self.gz.decompress(data)
+        if self.plain:
+            self.buffer += self.data
+            self.data = b""
+            return True
+        if not self._fill(1):
+            return False
+        some = self.data if self.left is None else self.data[: self.left]
+        out = self.gz.decompress(some)
+        used = len(some) - len(self.gz.unused_data)
+        self.data = self.data[used:]
+        if self.left is not None:
+            self.left -= used
+            self.total -= len(out)
+        self.inflated += len(out)
+        self.buffer += out
         return True
 
-    def until(self, mark: bytes) -> bytes | None:
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """What stands before the mark, which is consumed too; None if it does not come, or not within ``most`` bytes."""
         at = 0
-        while (i := self.buffer.find(mark, at)) < 0:
+        while (i := self.buffer.find(mark, at, most)) < 0:
+            if most is not None and len(self.buffer) >= most:
+                return None
             at = max(0, len(self.buffer) - len(mark) + 1)
             if not self._more():
                 return None
@@ -148,11 +212,24 @@ class _Stream:
 
     def skip(self, n: int) -> None:
         while n:
-            if not self.buffer and not self._more():
-                return
             k = min(n, len(self.buffer))
             del self.buffer[:k]
             n -= k
+            if n and self.total is not None and self.gz is not None and not self.gz.eof and n >= self.total:
+                n -= self.total
+                self._pass_over()
+            elif n and not self._more():
+                return
+
+    def _pass_over(self) -> None:
+        """The rest of the member, as it is."""
+        k = min(self.left, len(self.data))
+        self.data, rest = self.data[k:], self.left - k
+        if rest and self.raw.seekable():
+            self.raw.seek(rest, 1)
+        elif rest:
+            self.raw.read(rest)
+        self.gz = self.left = self.total = None
 
 
 def _page(urn: str | None) -> int | None:
@@ -173,17 +250,16 @@ def read_archive(raw, wanted, payload: bool) -> Iterator[tuple]:
         if not wanted(row):
             stream.skip(size + 4)
             continue
-        http = stream.until(b"\r\n\r\n") or b""
-        m = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
-        rest = max(0, size - len(http) - 4)
-        length = int(m[1]) if m else rest
+        http = stream.until(b"\r\n\r\n", size) if fields.get("content-type", "").lower().startswith("application/http") else None
+        rest = size if http is None else size - len(http) - 4
+        m = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http or b"")
         body = None
         if payload and row["record_type"] == "response":
             body = stream.take(rest)
         else:
             stream.skip(rest)
         stream.skip(4)
-        yield row["page_id"], row["url"], row["record_type"], row["refers_to"], length, row["payload_digest"], body
+        yield row["page_id"], row["url"], row["record_type"], row["refers_to"], int(m[1]) if m else rest, row["payload_digest"], body
 
 
 class WarcReader(DataSourceReader):
@@ -212,7 +288,7 @@ class WarcReader(DataSourceReader):
         if not partition.path:
             return
         store, name = open_fs(partition.path)
-        with store.open_input_stream(name, compression=None) as raw:
+        with store.open_input_file(name) as raw:
             yield from read_archive(raw, self._wanted, self.payload)
 
 
