@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _U = np.uint64
 WHITESPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -84,6 +85,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def sampled(share, *columns: str):
+    """Whether a row is among about ``share`` of all rows (a number or a Column), by 64 bits of hash: no share is too small."""
+    unit = F.xxhash64(*columns).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    return unit < share
+
+
 # --------------------------------------------------------------------------- Arrow text
 
 
