@@ -1,34 +1,35 @@
 """Language by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-The network reads each run of letters of the lower-cased text, from both ends, and gives every byte position a probability
-for each language; a document's probabilities are the mean over all its positions. The state starts anew with each run
-(runs of more than ``LONGEST`` bytes are cut), so positions of equal runs have equal probabilities: each worker keeps the
-sums of the runs it has met and whole texts cost one lookup a run.
-
-Training sees texts of about ``SAMPLE`` documents of each language, by hash of the id, and of their runs the ``RUNS`` most
-frequent ones; with fold selection, only documents whose crc32(doc_id) mod 3 is not 1. Null and empty languages teach nothing.
-Without any language, every prediction is ``und``. ``und`` with score 0 is also the prediction for null texts and texts
-without letters. At most ``MOST`` languages are learned; more raise an error. An empty table gives no rows.
+A text's letters (Unicode letters and their marks), lower-cased, with one blank for whatever stands between two words, are
+read as UTF-8 bytes from both ends, across words. The network gives every byte position a probability for each language; a
+document's probabilities are the mean over all its positions. States start anew every ``SPAN`` bytes, so that windows of one
+length, of any texts, run as one batch; whole texts are read.
+
+Training sees texts of about ``SAMPLE`` documents of each language, by hash of the id, and at most ``WINDOWS`` pieces of
+``PIECES`` bytes of each language, by hash of the piece, so no language crowds out another; with fold selection, only
+documents whose crc32(doc_id) mod 3 is not 1. Null and empty languages teach nothing. Without any language, every prediction
+is ``und``. ``und`` with score 0 is also the prediction for null texts and texts without letters. At most ``MOST`` languages
+are learned; more raise an error. Repeated rows give repeated results. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import load, stage
+from ._common import load, sampled, stage
 from .toxicity import train_fold
 
-LETTERS = re.compile(r"[^\W\d_]+")
-SAMPLE, RUNS, MOST, LONGEST = 400, 60_000, 256, 24
-HIDDEN, EMBED, STEPS, BATCH = 16, 12, 700, 512
-CACHE = 400_000
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Sampled documents and training pieces of a language, most languages, bytes of a window, bytes of training pieces.
+SAMPLE, WINDOWS, MOST, SPAN, PIECES = 400, 6000, 256, 64, (64, 24, 12)
+HIDDEN, EMBED, STEPS, BATCH = 12, 12, 400, 192
+#: Bytes that are read at a time, and floats of one batch's probabilities.
+SLICE, CELLS = 4 << 20, 1 << 22
 
 
 class Network:
@@ -60,11 +61,39 @@ class Network:
             h = out[i] = new
         return out, saved
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """(time, row, class)"""
-        s = self._run("f", x, mask, False)[0] @ self.p["Of"] + self._run("b", x, mask, False)[0] @ self.p["Ob"] + self.p["b"]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        return s / s.sum(axis=2, keepdims=True)
+    def _states(self, d: str, x: np.ndarray):
+        """States of direction d over windows of equal length (time, row), in reading order, one step at a time."""
+        t, n = x.shape
+        u, k = self.p[f"U{d}"], HIDDEN
+        table = self.p["E"] @ self.p[f"W{d}"] + self.p[f"c{d}"]
+        h = np.zeros((n, k), np.float32)
+        a, g = np.empty((n, 3 * k), np.float32), np.empty((n, 3 * k), np.float32)
+        for i in range(t) if d == "f" else range(t - 1, -1, -1):
+            np.take(table, x[i], axis=0, out=a, mode="clip")
+            np.matmul(h, u, out=g)
+            zr = a[:, : 2 * k] + g[:, : 2 * k]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            c = g[:, 2 * k :] * zr[:, k:]
+            c += a[:, 2 * k :]
+            np.tanh(c, out=c)
+            h = c + zr[:, :k] * (h - c)
+            yield i, h
+
+    def positions(self, x: np.ndarray) -> np.ndarray:
+        """(time, row, class): probabilities at every position of windows of equal length, given as (time, row) bytes."""
+        s = np.empty((*x.shape, len(self.p["b"])), np.float32)
+        for i, h in self._states("f", x):
+            np.matmul(h, self.p["Of"], out=s[i])
+        for i, h in self._states("b", x):
+            s[i] += h @ self.p["Ob"]
+        s += self.p["b"]
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=2, keepdims=True)
+        return s
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean loss over the positions, and its gradient by backpropagation through time."""
@@ -125,69 +154,63 @@ def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, (np.arange(t) < np.array([len(b) for b in runs])[:, None]).astype(np.float32)
 
 
-def cut(word: str) -> list[bytes]:
-    b = word.encode("utf-8", "replace")
-    return [b[i : i + LONGEST] for i in range(0, len(b), LONGEST)]
-
-
-class Reader:
-    """Sums of position probabilities of the runs met so far."""
-
-    def __init__(self, network: Network, classes: int):
-        self.network, self.classes = network, classes
-        self._empty()
-
-    def _empty(self):
-        self.known: dict[str, int] = {}
-        self.sums = np.zeros((1024, self.classes + 1), np.float32)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self._empty()
-        new = sorted(words - self.known.keys(), key=len)
-        if len(self.known) + len(new) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros((max(len(self.sums), len(new)), self.classes + 1), np.float32)])
-        for a in range(0, len(new), 2048):
-            some = new[a : a + 2048]
-            bits = [cut(w) for w in some]
-            flat = [b for x in bits for b in x]
-            of = np.repeat(np.arange(len(some)), [len(x) for x in bits])
-            base = len(self.known)
-            for b in range(0, len(flat), 4096):
-                x, mask = padded(flat[b : b + 4096])
-                p = (self.network.probabilities(x, mask) * mask.T[:, :, None]).sum(axis=0)
-                np.add.at(self.sums, base + of[b : b + 4096], np.hstack([p, mask.sum(axis=1, keepdims=True)]))
-            self.known.update((w, base + i) for i, w in enumerate(some))
-
-    def read(self, texts: list[str | None]):
-        """For each text the mean probabilities of its positions, or None without letters."""
-        runs = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        at = 0
-        while at < len(runs):  # texts are taken together as far as the cache goes
-            words: set[str] = set()
-            end = at
-            while end < len(runs) and (end == at or len(words) < CACHE // 4):
-                words.update(runs[end])
-                end += 1
-            self.learn(words)
-            for r in runs[at:end]:
-                if not r:
-                    yield None
-                    continue
-                total = self.sums[np.fromiter(map(self.known.__getitem__, r), np.int64, len(r))].sum(axis=0, dtype=np.float64)
-                yield total[:-1] / total[-1]
-            at = end
-
-
-def _counts(frames):
-    counts: Counter = Counter()
+def letters(text: str | None) -> bytes:
+    """The bytes that the network reads of a text."""
+    return " ".join(LETTERS.findall(text.lower())).encode("utf-8", "replace") if text else b""
+
+
+def pool(network: Network, texts: list[bytes]) -> np.ndarray:
+    """(text, class): for each text the sum of its positions' probabilities."""
+    classes = len(network.p["b"])
+    out = np.zeros((len(texts), classes))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    counts = -(-sizes // SPAN)
+    of = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.repeat(np.cumsum(sizes) - sizes, counts) + place * SPAN
+    lengths = np.minimum(SPAN, np.repeat(sizes, counts) - place * SPAN)
+    for t in np.unique(lengths):
+        rows = np.flatnonzero(lengths == t)
+        step = max(1, min(2048, CELLS // (int(t) * classes)))
+        for i in range(0, len(rows), step):
+            some = rows[i : i + step]
+            x = data[starts[some] + np.arange(t)[:, None]]
+            np.add.at(out, of[some], network.positions(x).sum(axis=0))
+    return out
+
+
+def label_positions(network: Network, langs: list[str], text: str) -> list[str]:
+    """The language of every byte position of ``letters(text)``."""
+    data = np.frombuffer(letters(text), np.uint8)
+    return [langs[k] for i in range(0, len(data), SPAN) for k in network.positions(data[i : i + SPAN, None])[:, 0].argmax(axis=1)]
+
+
+def read(network: Network, texts: list[str | None]):
+    """For each text the mean probabilities of its positions, or None without letters."""
+    found = [letters(t) for t in texts]
+    at = 0
+    while at < len(found):
+        end, size = at, 0
+        while end < len(found) and (end == at or size + len(found[end]) <= SLICE):
+            size += len(found[end])
+            end += 1
+        for b, p in zip(found[at:end], pool(network, found[at:end]), strict=True):
+            yield p / len(b) if b else None
+        at = end
+
+
+def _pieces(frames):
+    """Rows (lang, piece): texts cut into pieces of each length in turn."""
     for f in frames:
         for text, lang in zip(f["text"], f["lang"], strict=True):
-            counts.update((lang, w) for w in LETTERS.findall((text or "").lower()))
-    rows = list(counts.items())
-    for i in range(0, len(rows), 100_000):
-        some = rows[i : i + 100_000]
-        yield pd.DataFrame({"lang": [k[0] for k, _ in some], "word": [k[1] for k, _ in some], "n": [n for _, n in some]})
+            b, at, out = letters(text), 0, []
+            while at < len(b):
+                size = PIECES[len(out) % len(PIECES)]
+                out.append(b[at : at + size])
+                at += size
+            if out:
+                yield pd.DataFrame({"lang": lang, "piece": out})
 
 
 def learn(docs: DataFrame, folds: bool = True) -> tuple[Network | None, list[str]]:
@@ -200,24 +223,16 @@ def learn(docs: DataFrame, folds: bool = True) -> tuple[Network | None, list[str
     langs = sorted(sizes)
     if not langs:
         return None, []
-    chance = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, SAMPLE / sizes[k]))))
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    some = stage(rows.filter(part < chance[F.col("lang")]).select("text", "lang"), "languages").repartition(8)
-    words = some.mapInPandas(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(RUNS).collect()
-    runs, labels, weights = [], [], []
-    for lang, word, n in words:
-        for b in cut(word):
-            runs.append(b)
-            labels.append(langs.index(lang))
-            weights.append(float(n))
-    if not runs:
+    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, SAMPLE / sizes[k]))))
+    some = stage(rows.filter(sampled(share[F.col("lang")], "id")).select("text", "lang"), "languages").repartition(8)
+    own = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
+    pieces = some.mapInPandas(_pieces, "lang string, piece binary").withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= WINDOWS).select("lang", "piece").collect()  # MOST * WINDOWS short rows at most
+    if not pieces:
         return None, []
-    labels, weights = np.array(labels), np.array(weights)
-    for k in range(len(langs)):  # languages count alike
-        if (labels == k).any():
-            weights[labels == k] /= weights[labels == k].sum()
+    labels = np.array([langs.index(lang) for lang, _ in pieces])
+    weights = 1.0 / np.bincount(labels, minlength=len(langs))[labels]  # languages count alike
     network = Network(len(langs))
-    network.train(runs, labels, weights)
+    network.train([bytes(b) for _, b in pieces], labels, weights)
     return network, langs
 
 
@@ -225,20 +240,17 @@ def identify_language(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``, a row for each row of ``docs``."""
     network, langs = learn(docs)
 
-    def read(batches):
-        reader = Reader(network, len(langs)) if network else None
+    def run(batches):
         for batch in batches:
+            texts = batch.column("text").to_pylist()
             found, scores = [], []
-            texts = batch.column("text")
-            for i in range(0, len(texts), 256):
-                some = texts.slice(i, 256).to_pylist()
-                for p in reader.read(some) if reader else [None] * len(some):
-                    found.append("und" if p is None else langs[int(p.argmax())])
-                    scores.append(0.0 if p is None else float(min(1.0, p.max())))
+            for p in read(network, texts) if network else [None] * len(texts):
+                found.append("und" if p is None else langs[int(p.argmax())])
+                scores.append(0.0 if p is None else float(min(1.0, p.max())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~train_fold()).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(read, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
