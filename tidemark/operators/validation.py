@@ -1,7 +1,8 @@
 """Classification of raw lines: the first rule that fails names the reason; a line that passes all is a bar.
 
-``lines`` has ``member``, ``row_number`` (physical, the header is 1) and ``line``. Blank lines are skipped but keep their
-number. Whether a date repeats or goes back is judged against the last accepted date, which is the running maximum of the
+``lines`` has ``member``, ``row_number`` (physical, the header is 1) and ``line``. Blank lines (of any ASCII whitespace) are
+skipped but keep their number. Numbers may have whitespace around them and underscores between digits; ticker, period and
+time are compared as they stand. A line with characters beyond ASCII is no number anywhere: ``parse_error``. Whether a date repeats or goes back is judged against the last accepted date, which is the running maximum of the
 dates that pass every other rule.
 """
 
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 HEADER = ("<TICKER>", "<PER>", "<DATE>", "<TIME>", "<OPEN>", "<HIGH>", "<LOW>", "<CLOSE>", "<VOL>", "<OPENINT>")
 MEMBER = r"(?i)^data/daily/us/(nasdaq|nyse|nysemkt) (stocks|etfs)(?:/[123])?/([^/]+)\.us\.txt$"
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{x}{i}" for x in ("COM", "LPT") for i in range(1, 10)))
-NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+BLANKS = " \t\r\f\x0b\n"
+DIGITS = "[0-9](_?[0-9])*"
+INTEGER = f"^[+-]?{DIGITS}$"
+NUMBER = f"^[+-]?({DIGITS}([.]({DIGITS})?)?|[.]{DIGITS})([eE][+-]?{DIGITS})?$"
 SPECIAL = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 
@@ -30,28 +34,31 @@ def classify_paths(members: DataFrame, column: str = "member") -> DataFrame:
 
 
 def _number(c):
-    text = F.trim(c)
-    return F.when(text.rlike(NUMBER), text.try_cast("double")).when(
+    text = F.btrim(c, F.lit(BLANKS))
+    return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double")).when(
         text.rlike(SPECIAL), F.when(F.lower(text).contains("nan"), F.lit(float("nan"))).when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
     )
 
 
+def _integer(c):
+    text = F.btrim(c, F.lit(BLANKS))
+    return F.when(text.rlike(INTEGER), F.replace(text, F.lit("_"), F.lit("")))
+
+
 def validate(lines: DataFrame, valid_header: str = "true") -> DataFrame:
     """Adds ``ticker_field, bar_date, open, high, low, close, volume, reason``; reason is null for a valid bar."""
-    f = lambda i: F.trim(F.col("fields")[i])
-    rows = lines.filter(F.trim("line") != "").withColumn("fields", F.split("line", ",", -1)).withColumn("n", F.size("fields"))
-    get = lambda i: F.when(F.col("n") == len(HEADER), f(i))
-    digits = r"^[+-]?[0-9]+$"
+    rows = lines.filter(F.btrim("line", F.lit(BLANKS)) != "").withColumn("fields", F.split("line", ",", -1)).withColumn("n", F.size("fields"))
+    get = lambda i: F.when(F.col("n") == len(HEADER), F.col("fields")[i])
     rows = rows.withColumns({
-        "ticker_field": get(0), "period": get(1), "date_text": get(2), "time_text": get(3),
-        "open": _number(get(4)), "high": _number(get(5)), "low": _number(get(6)), "close": _number(get(7)), "volume": _number(get(8)), "interest": get(9),
+        "ticker_field": get(0), "period": get(1), "date_text": _integer(get(2)), "time_text": get(3),
+        "open": _number(get(4)), "high": _number(get(5)), "low": _number(get(6)), "close": _number(get(7)), "volume": _number(get(8)), "interest": _integer(get(9)),
     })
-    rows = rows.withColumn("date_int", F.when(F.col("date_text").rlike(digits), F.col("date_text").try_cast("int")))
-    rows = rows.withColumn("bar_date", F.expr("try_to_date(lpad(cast(date_int as string), 8, '0'), 'yyyyMMdd')"))
-    rows = rows.withColumn("bar_date", F.when(F.year("bar_date").between(1800, 2200), F.col("bar_date")))
+    # a whole number of any size parses; only one of eight digits can be a date
+    rows = rows.withColumn("bar_date", F.expr("try_to_date(lpad(cast(try_cast(date_text as bigint) as string), 8, '0'), 'yyyyMMdd')"))
+    rows = rows.withColumn("bar_date", F.when(F.expr("try_cast(date_text as bigint) between 18000101 and 22001231"), F.col("bar_date")))
     prices = [F.col(x) for x in ("open", "high", "low", "close")]
     bad = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
-    parse_error = F.col("date_int").isNull() | F.col("interest").isNull() | ~F.col("interest").rlike(digits)
+    parse_error = F.col("date_text").isNull() | F.col("interest").isNull() | F.col("line").rlike(r"[^\x00-\x7F]")
     for c in (*prices, F.col("volume")):
         parse_error = parse_error | c.isNull()
     any_bad = bad(prices[0]) | bad(prices[1]) | bad(prices[2]) | bad(prices[3])
@@ -75,7 +82,7 @@ def validate(lines: DataFrame, valid_header: str = "true") -> DataFrame:
     seen = Window.partitionBy("member").orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("last_date", F.max(F.when(F.col("first_reason").isNull(), F.col("bar_date"))).over(seen))
     reason = F.coalesce("first_reason", F.when(F.col("bar_date") == F.col("last_date"), "duplicate_date").when(F.col("bar_date") < F.col("last_date"), "non_increasing_date"))
-    return rows.withColumn("reason", reason).drop("fields", "n", "period", "date_text", "time_text", "interest", "date_int", "first_reason", "last_date")
+    return rows.withColumn("reason", reason).drop("fields", "n", "period", "date_text", "time_text", "interest", "first_reason", "last_date")
 
 
 def load_valid(validated: DataFrame, policy: str = "drop") -> DataFrame:
@@ -89,11 +96,15 @@ def load_valid(validated: DataFrame, policy: str = "drop") -> DataFrame:
 
 
 def quarantine(validated: DataFrame, preview: int = 300) -> DataFrame:
-    return validated.filter("reason is not null").select("member", "row_number", "reason", F.substring("line", 1, preview).alias("preview"))
+    return validated.filter("reason is not null").select("member", "row_number", "reason", F.btrim(F.substring("line", 1, preview), F.lit(BLANKS)).alias("preview"))
 
 
-def reason_histogram(validated: DataFrame) -> DataFrame:
-    return validated.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("rows"))
+def reason_histogram(validated: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Rows by reason; an invalid header (``headers``: member, header_valid) counts once besides the rows below it."""
+    reasons = validated.filter("reason is not null").select("reason")
+    if headers is not None:
+        reasons = reasons.unionByName(headers.filter("not header_valid").select(F.lit("invalid_header").alias("reason")))
+    return reasons.groupBy("reason").agg(F.count("*").alias("rows"))
 
 
 def member_summary(validated: DataFrame) -> DataFrame:

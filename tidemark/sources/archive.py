@@ -1,24 +1,42 @@
 """A data source for ZIP archives of text members: ``spark.read.format("tidemark_zip").load(path)``.
 
-One partition for each ``members`` members (option, 64). Rows: ``member, row_number, line, size, crc32``; an empty member
-gives one row without line. Only members that end in .txt are read.
+The driver reads the central directory once; a partition carries the places and sizes of its members (about ``bytes``
+compressed bytes, option, 16 MB), so a task reads its own local headers and nothing else of the directory.
+
+Rows: ``member, row_number, line, size, compressed_size, crc32, error``. Lines end with a line feed; a carriage return before
+it is no part of them. Bytes that are no UTF-8 become U+FFFD, which no field accepts. An empty member, a folder's file that
+is not text (``lines`` false) and a member that cannot be read give one row without line; the last one has ``error``, and the
+other members are read all the same. Only members that end in .txt are read.
 """
 
 from __future__ import annotations
 
-import io
+import struct
 import zipfile
+import zlib
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "member string, row_number long, line string, size long, crc32 string"
+SCHEMA = "member string, row_number long, line string, size long, compressed_size long, crc32 string, error string"
+PIECE = 1 << 20
+
+
+@dataclass(frozen=True)
+class Member:
+    name: str
+    offset: int
+    compressed: int
+    size: int
+    crc: int
+    method: int
 
 
 class Members(InputPartition):
-    def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path, names
+    def __init__(self, path: str, members: list[Member]):
+        self.path, self.members = path, members
 
 
 def _open(path: str):
@@ -30,27 +48,83 @@ def _open(path: str):
     return store.open_input_file(name)
 
 
+def directory(path: str) -> list[Member]:
+    """The files of an archive by name."""
+    with _open(path) as f, zipfile.ZipFile(f) as z:
+        return sorted((Member(i.filename, i.header_offset, i.compress_size, i.file_size, i.CRC, i.compress_type) for i in z.infolist() if not i.is_dir()), key=lambda m: m.name)
+
+
+def content(f, member: Member):
+    """The pieces of a member's content, checked against its CRC."""
+    f.seek(member.offset)
+    head = f.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise ValueError("no local header where the directory says")
+    name, extra = struct.unpack("<HH", head[26:30])
+    f.seek(member.offset + 30 + name + extra)
+    if member.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"compression method {member.method}")
+    packer = zlib.decompressobj(-15) if member.method == zipfile.ZIP_DEFLATED else None
+    left, crc = member.compressed, 0
+    while left:
+        raw = f.read(min(PIECE, left))
+        if not raw:
+            raise ValueError("the member ends too early")
+        left -= len(raw)
+        piece = packer.decompress(raw) if packer else raw
+        crc = zlib.crc32(piece, crc)
+        yield piece
+    if packer and (rest := packer.flush()):
+        crc = zlib.crc32(rest, crc)
+        yield rest
+    if crc != member.crc:
+        raise ValueError("CRC differs")
+
+
+def lines(pieces):
+    """Lines without their ends."""
+    held = b""
+    for piece in pieces:
+        *whole, held = (held + piece).split(b"\n")
+        yield from whole
+    if held:
+        yield held
+
+
 class ZipReader(DataSourceReader):
-    def __init__(self, path: str, step: int):
-        self.path, self.step = path, step
+    def __init__(self, path: str, step: int, text: bool, only: set[str]):
+        self.path, self.step, self.text, self.only = path, step, text, only
 
     def partitions(self):
-        with _open(self.path) as f, zipfile.ZipFile(f) as z:
-            names = sorted(n for n in z.namelist() if n.lower().endswith(".txt"))
-        return [Members(self.path, names[i : i + self.step]) for i in range(0, len(names), self.step)] or [Members(self.path, [])]
+        groups, size = [[]], 0
+        for m in directory(self.path):
+            if self.only and m.name not in self.only:
+                continue
+            if groups[-1] and size + m.compressed > self.step:
+                groups.append([])
+                size = 0
+            groups[-1].append(m)
+            size += m.compressed
+        return [Members(self.path, g) for g in groups]
 
     def read(self, partition):
-        if not partition.names:
+        if not partition.members:
             return
-        with _open(partition.path) as f, zipfile.ZipFile(f) as z:
-            for name in partition.names:
-                info = z.getinfo(name)
-                crc, n = f"{info.CRC:08x}", 0
-                with z.open(name) as raw:
-                    for n, line in enumerate(io.TextIOWrapper(raw, "utf-8-sig", "replace", newline=None), 1):
-                        yield name, n, line.rstrip("\n"), info.file_size, crc
-                if not n:
-                    yield name, None, None, info.file_size, crc
+        with _open(partition.path) as f:
+            for m in partition.members:
+                own = (m.size, m.compressed, f"{m.crc:08x}")
+                if not self.text or not m.name.lower().endswith(".txt"):
+                    yield m.name, None, None, *own, None
+                    continue
+                n = 0
+                try:
+                    for n, line in enumerate(lines(content(f, m)), 1):
+                        yield m.name, n, line.rstrip(b"\r\n").decode("utf-8-sig" if n == 1 else "utf-8", "replace"), *own, None
+                except (ValueError, OSError, zlib.error) as e:
+                    yield m.name, None, None, *own, f"{type(e).__name__}: {e}"
+                else:
+                    if not n:
+                        yield m.name, None, None, *own, None
 
 
 class ZipSource(DataSource):
@@ -62,21 +136,36 @@ class ZipSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return ZipReader(self.options["path"], int(self.options.get("members", "64")))
+        return ZipReader(self.options["path"], int(self.options.get("bytes", str(16 << 20))), self.options.get("lines", "true").lower() == "true", {x for x in self.options.get("only", "").split("\n") if x})
 
 
-def read_zip(spark: SparkSession, path: str) -> DataFrame:
+def read_zip(spark: SparkSession, path: str, lines: bool = True, only: list[str] | None = None) -> DataFrame:
+    """The archive's rows, or those of the members that ``only`` names."""
     spark.dataSource.register(ZipSource)
-    return spark.read.format("tidemark_zip").load(path)
+    return spark.read.format("tidemark_zip").option("lines", str(lines).lower()).option("only", "\n".join(only or [])).load(path)
+
 
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Every file of the archive, from its directory alone: ``member, compressed_size, size, crc32, is_txt, classified`` and its identity."""
+    from ..operators.validation import classify_paths
 
-def inventory(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("member").agg(F.max("size").alias("size"), F.max("crc32").alias("crc32"), F.count("line").alias("lines"))
+    found = classify_paths(read_zip(spark, path, lines=False).select("member", "compressed_size", "size", "crc32"))
+    return found.withColumns({"is_txt": F.lower("member").endswith(".txt"), "classified": F.col("instrument_id").isNotNull()})
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """``member, header_valid`` of each member that has a line."""
+    from ..operators.validation import HEADER
+
+    names = F.expr("transform(split(btrim(line, ' \\t\\r\\f\\u000b'), ',', -1), x -> btrim(x, ' \\t\\r\\f\\u000b'))")
+    return lines.filter("row_number = 1").select("member", names.eqNullSafe(F.array(*map(F.lit, HEADER))).alias("header_valid"))
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
     """Lines after the header, with ``header_valid`` of their member, ready for validation."""
-    from ..operators.validation import HEADER
+    return lines.filter("row_number > 1").join(headers(lines), "member").select("member", "row_number", "line", "header_valid")
+
 
-    head = lines.filter("row_number = 1").select("member", F.expr("transform(split(line, ',', -1), x -> trim(x))").eqNullSafe(F.array(*map(F.lit, HEADER))).alias("header_valid"))
-    return lines.filter("row_number > 1").join(head, "member").select("member", "row_number", "line", "header_valid")
+def member_errors(lines: DataFrame) -> DataFrame:
+    """``member, error`` of members that could not be read."""
+    return lines.filter("error is not null").select("member", "error")
