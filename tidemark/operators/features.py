@@ -40,6 +40,14 @@ def segments(bars: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
     return gaps.withColumn("history_bars", F.row_number().over(own))
 
 
+def increasing(bars: DataFrame) -> DataFrame:
+    """``bars``; fatal if an instrument's dates repeat or do not rise with its row numbers."""
+    w = Window.partitionBy("instrument_id").orderBy("source_row_number")
+    checked = bars.withColumn("_before", F.lag("date").over(w))
+    ok = F.assert_true(F.col("_before").isNull() | (F.col("date") > F.col("_before")), F.concat(F.lit("dates do not rise: "), "instrument_id"))
+    return checked.withColumn("_ok", ok).filter(F.col("_ok").isNull()).drop("_before", "_ok")
+
+
 def segment_summary(segmented: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
     later = F.col("source_row_number") > F.col("first_row")
     first = segmented.groupBy("instrument_id").agg(F.min("source_row_number").alias("first_row"))

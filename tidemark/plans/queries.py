@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
 from ..operators import models, outcomes, research, signals, validation
 from ..operators.bars import bars, int_date
+from ..sources.staging import stage
 from ..sources.stores import fingerprint
 
 LIQUID = {"minimum_history_bars": 60, "minimum_log_dollar_volume": 5.0, "maximum_atr_14_pct": 2.0, "minimum_return_20": -1.0, "pullback_from_high_min": -0.9, "pullback_from_high_max": 0.5}
 DEMO = signals.TrendPullback("trend_pullback", config=LIQUID)
+#: The probe of every 50th bar: a feature of the engine, and a query of its own.
 PROBE = signals.EveryNth("every_nth", config={"modulus": 50})
-SHORT = signals.EveryNth("every_nth", direction="SHORT", config={"modulus": 7})
+PEEK = signals.Peek("peek")
 #: Every bar is a candidate.
 EVERY = signals.EveryNth("every_bar", config={"modulus": 1})
 EVERY_SHORT = signals.EveryNth("every_bar", direction="SHORT", config={"modulus": 1})
-Y = "h20_directional_close_return"
+FAMILIES = (DEMO, EVERY)
+CHECKPOINTS = (50, 120, 300)
+#: Rows that a fold needs to count, and that a family needs for a decision.
+MIN_TRAIN, MIN_TEST, MIN_OOF, MIN_FOLDS = 100, 30, 1000, 2
 PREDICTORS = ("raw_setup_strength", *ft.NAMES)
 
 
@@ -141,25 +147,68 @@ def q_entry(spark, d) -> DataFrame:
 
 def q_diagnostics(spark, d) -> DataFrame:
     f = featured(spark, d)
-    return signals.diagnostics(signals.materialize(PROBE, f), f)
+    return signals.diagnostics(signals.materialize(DEMO, f), f)
 
 
-def q_causality(spark, d) -> DataFrame:
-    return signals.causality(PROBE, featured(spark, d), (50, 120, 300))
+def q_diagnostic_counts(spark, d) -> DataFrame:
+    return signals.diagnostic_counts(signals.materialize(DEMO, featured(spark, d)))
+
+
+def q_causality(generator, spark, d) -> DataFrame:
+    """Features are computed anew on each prefix of the bars."""
+    return signals.causality(generator, bars(spark, d, "region", 200), CHECKPOINTS, lambda b: ft.features(ft.segments(b)))
 
 
 def q_combine(spark, d) -> DataFrame:
     f = featured(spark, d)
-    return signals.combine([signals.materialize(g, f) for g in signals.Registry([PROBE, SHORT])]).groupBy("setup_family", "direction").agg(F.count("*").alias("n"))
+    return signals.combine([signals.materialize(g, f) for g in signals.Registry([*FAMILIES, EVERY_SHORT])]).groupBy("setup_family", "direction").agg(F.count("*").alias("n"))
+
+
+def q_canonical(spark, d) -> DataFrame:
+    rows = signals.canonical(signals.materialize(DEMO, featured(spark, d)), "0" * 64)
+    return rounded(rows)
+
+
+def q_row_checks(spark, d) -> DataFrame:
+    """A tenth kind of damage for each check, spread over the rows by the day of the signal."""
+    rows = signals.canonical(signals.materialize(DEMO, featured(spark, d)), "0" * 64)
+    k = F.pmod(F.col("signal_date"), F.lit(20))
+    broken = {
+        "candidate_schema_version": (0, F.lit("candidate_schema_v0")), "direction": (1, F.lit("FLAT")), "decision_time": (2, F.lit(None).cast("string")), "earliest_entry_rule": (3, F.lit("same_close")),
+        "historical_entry_status": (4, F.lit("unknown")), "earliest_entry_date": (5, F.lit(None).cast("int")), "raw_setup_strength": (6, F.lit(float("nan"))), "generator_payload_json": (7, F.lit("{ }")), "candidate_id": (8, F.lit("cand_")),
+    }
+    rows = rows.withColumns({c: F.when(k == n, bad).otherwise(F.col(c)) for c, (n, bad) in broken.items()})
+    rows = rows.withColumn("earliest_entry_date", F.when((k == 9) & (F.col("historical_entry_status") == "available"), F.col("signal_date")).otherwise(F.col("earliest_entry_date")))
+    return signals.row_violations(rows)
 
 
-def labelled(spark, d, generator) -> DataFrame:
+def q_context(spark, d) -> DataFrame:
+    """Features of all bars but those of one day in the month, and of rows moved by one on another."""
+    b = bars(spark, d, gap_after=200)
+    f = ft.segments(b).filter("dayofmonth(date) <> 13").withColumn("source_row_number", F.col("source_row_number") + (F.dayofmonth("date") == 14).cast("long"))
+    return signals.context_violations(b, f)
+
+
+def q_bar_checks(spark, d) -> DataFrame:
+    """Signals of every bar, of which some name another segment, entry or row."""
     f = featured(spark, d)
-    return outcomes.outcomes(signals.materialize(generator, f), f)
+    s = signals.materialize(EVERY, f)
+    day = F.pmod(F.col("signal_date"), F.lit(100))
+    s = s.withColumns({
+        "segment_id": F.col("segment_id") + (day == 3).cast("int"), "entry_date": F.when((day == 5) & F.col("entry_date").isNotNull(), F.col("signal_date")).otherwise(F.col("entry_date")),
+        "entry_source_row_number": F.col("entry_source_row_number") + (day == 7).cast("long"), "signal_source_row_number": F.when(day == 9, F.lit(-1).cast("long")).otherwise(F.col("signal_source_row_number")),
+    })
+    return outcomes.bar_violations(s, f)
+
 
+def labelled(spark, d, *generators, carry=()) -> DataFrame:
+    """Signals with labels in one pass: features, entries and forward frames are columns of the same bars."""
+    f = outcomes.forward(signals.with_entry(featured(spark, d)))
+    return outcomes.label(signals.signal_rows(list(generators), f, (*(c for c in f.columns if c.startswith("_")), *carry)))
 
-def q_core(spark, d, generator=PROBE) -> DataFrame:
-    return rounded(labelled(spark, d, generator).select("candidate_id", "entry_open", "same_segment_bars_available", "termination", "entry_gap_return_raw", "signal_atr_14_abs"))
+
+def q_core(spark, d) -> DataFrame:
+    return rounded(labelled(spark, d, EVERY).select("candidate_id", "entry_open", "same_segment_bars_available", "termination", "entry_gap_return_raw", "signal_atr_14_abs"))
 
 
 def q_horizons(generator, spark, d) -> DataFrame:
@@ -178,8 +227,20 @@ def q_barriers(generator, spark, d) -> DataFrame:
     return rows.select("candidate_id", *(F.col(c).cast("long").alias(c) if c.endswith("event") else F.col(c) for c in cols))
 
 
-def q_accounting(spark, d, generator=PROBE) -> DataFrame:
-    return outcomes.accounting(labelled(spark, d, generator))
+def q_accounting(spark, d) -> DataFrame:
+    return outcomes.accounting(labelled(spark, d, EVERY))
+
+
+def q_outcome_checks(spark, d) -> DataFrame:
+    """Outcome rows, of which some are broken by the day of the signal."""
+    rows = labelled(spark, d, EVERY)
+    day = F.pmod(F.col("signal_date"), F.lit(100))
+    rows = rows.withColumns({
+        "direction": F.when(day == 1, F.lit("FLAT")).otherwise(F.col("direction")), "ticker_split": F.when(day == 2, F.lit("other")).otherwise(F.col("ticker_split")),
+        "entry_open": F.when(day == 3, F.lit(None).cast("double")).otherwise(F.col("entry_open")), "same_segment_bars_available": F.when(day == 4, F.lit(1).cast("long")).otherwise(F.col("same_segment_bars_available")),
+        "barrier_2r_20_bars_to_event": F.when(day == 5, F.lit(None).cast("long")).otherwise(F.col("barrier_2r_20_bars_to_event")), "barrier_1r_20_result": F.when(day == 6, F.lit("won")).otherwise(F.col("barrier_1r_20_result")),
+    })
+    return outcomes.outcome_violations(rows)
 
 
 def q_split(spark, d) -> DataFrame:
@@ -191,22 +252,32 @@ def q_period(spark, d) -> DataFrame:
     return rows.groupBy("temporal_partition").agg(F.count("*").alias("bars"))
 
 
-def researched(spark, d, generator=SHORT) -> DataFrame:
-    f = featured(spark, d)
-    s = signals.materialize(generator, f)
-    rows = research.research_table(s, outcomes.outcomes(s, f), f, ("development", "integration_holdout", "final_ticker_holdout"))
-    return rows.filter(F.col(Y).isNotNull()).withColumns({"y_return": F.col(Y), "y_target": (F.col(Y) > 0).cast("int")})
+def researched(spark, d, carry=ft.NAMES) -> DataFrame:
+    """Selection-safe rows of both families."""
+    return research.selection_safe(labelled(spark, d, *FAMILIES, carry=carry))
+
+
+def q_research(spark, d) -> DataFrame:
+    """By the joins: signals, their outcomes, and their features, each checked."""
+    f = stage(featured(spark, d), "features")
+    s = signals.combine([signals.materialize(g, f) for g in FAMILIES])
+    rows = research.research_table(s, outcomes.outcomes(s, f), f)
+    return rounded(rows.select("candidate_id", "setup_family", "ticker_split", "temporal_partition", "raw_setup_strength", "return_20", "atr_14_pct", "barrier_2r_20_result", F.col(research.RETURN).alias("y_return")))
 
 
-def q_research(spark, d, generator=SHORT) -> DataFrame:
-    return rounded(researched(spark, d, generator).select("candidate_id", "ticker_split", "temporal_partition", "raw_setup_strength", "return_20", "atr_14_pct", "barrier_2r_20_result", "y_return", "y_target"))
+def q_family_counts(spark, d) -> DataFrame:
+    return research.family_counts(researched(spark, d, ()))
+
+
+def q_leakage(spark, d) -> DataFrame:
+    """The violations of rows that were not filtered."""
+    return research.leakage(labelled(spark, d, *FAMILIES))
 
 
 def q_anti(spark, d) -> DataFrame:
-    f = featured(spark, d)
-    s = signals.materialize(SHORT, f)
-    o = outcomes.outcomes(signals.materialize(SHORT, f.filter("ticker <> '1'")), f)
-    return s.join(o, "candidate_id", "left_anti").groupBy("ticker").agg(F.count("*").alias("n"))
+    """Signals of every bar without a complete outcome."""
+    o = stage(labelled(spark, d, EVERY).select("candidate_id", "ticker", "termination"), "outcomes")
+    return o.join(o.filter("termination = 'complete_60'"), "candidate_id", "left_anti").groupBy("ticker").agg(F.count("*").alias("n"))
 
 
 def q_universe_diff(spark, d) -> DataFrame:
@@ -216,54 +287,59 @@ def q_universe_diff(spark, d) -> DataFrame:
     return missing.join(F.broadcast(have.join(suppliers, "ticker", "left_anti").agg(F.count("*").alias("unknown"))))
 
 
-def members(spark, d, generator=SHORT) -> DataFrame:
-    return research.fold_members(researched(spark, d, generator), research.folds(spark))
+def members(spark, d, carry=()) -> DataFrame:
+    rows = research.evaluable(researched(spark, d, carry)).select("candidate_id", "instrument_id", "setup_family", "direction", "signal_date", "h20_end_date", "raw_setup_strength", "y_return", "y_target", *carry)
+    return stage(research.fold_members(rows, research.folds(spark)), "members")
 
 
-def q_folds(spark, d, generator=SHORT) -> DataFrame:
-    return members(spark, d, generator).groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("signal_date").alias("first"), F.max("signal_date").alias("last"), F.round(F.avg("y_target"), 6).alias("target_rate"))
+def tests(rows: DataFrame) -> DataFrame:
+    """Test rows of valid folds."""
+    valid = research.fold_status(rows, MIN_TRAIN, MIN_TEST).filter("status = 'valid'").select("setup_family", "fold")
+    return stage(rows.filter("part = 'test'").join(F.broadcast(valid), ["setup_family", "fold"], "left_semi"), "tests")
 
 
-def q_fold_status(spark, d, generator=SHORT) -> DataFrame:
-    return research.fold_status(members(spark, d, generator), 100, 30)
+def q_folds(spark, d) -> DataFrame:
+    return members(spark, d).groupBy("setup_family", "fold", "part").agg(F.count("*").alias("n"), F.min("signal_date").alias("first"), F.max("signal_date").alias("last"), F.round(F.avg("y_target"), 6).alias("target_rate"))
 
 
-def q_rank(spark, d, generator=SHORT) -> DataFrame:
-    rows = members(spark, d, generator).filter("part = 'test'")
-    return rounded(research.rank_metrics(rows, "raw_setup_strength", ["fold"]))
+def q_fold_status(spark, d) -> DataFrame:
+    return rounded(research.fold_status(members(spark, d), MIN_TRAIN, MIN_TEST))
+
+
+def q_rank(spark, d) -> DataFrame:
+    return rounded(research.rank_metrics(tests(members(spark, d)), "raw_setup_strength", ["setup_family", "fold"]))
 
 
 def q_auc(spark, d) -> DataFrame:
-    return q_rank(spark, d).select("fold", "n", "auc")
+    return q_rank(spark, d).select("setup_family", "fold", "n", "auc")
 
 
 def q_brier(spark, d) -> DataFrame:
     p = 1 / (1 + F.exp(-F.col("raw_setup_strength")))
-    return rounded(research.brier(members(spark, d).filter("part = 'test'").withColumn("p", p), "p", ["fold"]))
+    return rounded(research.brier(tests(members(spark, d)).withColumn("p", p), "p", ["setup_family", "fold"]))
 
 
-def q_gate(spark, d, generator=SHORT) -> DataFrame:
-    rows = members(spark, d, generator).filter("part = 'test'")
-    total = research.rank_metrics(rows.withColumn("every", F.lit(1)), "raw_setup_strength", ["every"])
-    return research.decide(research.gate(total, research.rank_metrics(rows, "raw_setup_strength", ["fold"])), 3, 1000, 2)
+def q_gate(spark, d) -> DataFrame:
+    rows = members(spark, d)
+    gates = research.score_gates(tests(rows), ("raw_setup_strength",))
+    decided = research.decide(gates, research.fold_status(rows, MIN_TRAIN, MIN_TEST), MIN_OOF, MIN_FOLDS)
+    return gates.drop("n", "score").join(decided, "setup_family")
 
 
 def q_impute(spark, d) -> DataFrame:
-    own = researched(spark, d).select("candidate_id", "close_location", "return_252")
-    z = own
-    for c in ("close_location", "return_252"):
-        z = z.join(F.broadcast(own.agg(F.coalesce(F.median(c), F.lit(0.0)).alias(f"m_{c}"))))  # one row
-        z = z.withColumn(f"missing_{c}", F.col(c).isNull().cast("int")).withColumn(c, F.coalesce(c, f"m_{c}"))
-    sums = z.agg(*(x for c in ("close_location", "return_252") for x in (F.avg(c).alias(f"a_{c}"), F.stddev_pop(c).alias(f"s_{c}"))))
-    z = z.join(F.broadcast(sums))  # one row
-    return rounded(z.select("candidate_id", *(x for c in ("close_location", "return_252") for x in (((F.col(c) - F.col(f"a_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)).alias(f"z_{c}"), F.col(f"missing_{c}")))))
+    """The library's preparation, fitted on the rows it is applied to."""
+    columns = ["close_location", "return_252"]
+    rows = stage(research.evaluable(researched(spark, d, tuple(columns))).select("candidate_id", *columns), "impute")
+    ready = models.Preparation(rows, columns)
+    made = ready.apply(rows).select("candidate_id", vector_to_array("features").alias("z"))
+    picked = [F.element_at("z", ready.names.index(n) + 1).alias(n) if n in ready.names else F.lit(None).cast("double").alias(n) for c in columns for n in (c, f"missing_{c}")]
+    return rounded(made.select("candidate_id", *picked))
 
 
 def oof(spark, d) -> DataFrame:
-    rows = members(spark, d).cache()
-    valid = sorted(r["fold"] for r in research.fold_status(rows, 100, 30).filter("status = 'valid'").collect())
-    found = models.walk_forward(rows, list(PREDICTORS), valid)
-    return found if found is not None else rows.limit(0).select("candidate_id", "fold", "y_return", "y_target", F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("ridge_score"), F.lit(0.0).alias("logistic_score"))
+    rows = members(spark, d, ft.NAMES)
+    valid = research.fold_status(rows, MIN_TRAIN, MIN_TEST).filter("status = 'valid'").select("setup_family", "fold").orderBy("setup_family", "fold").collect()  # six a family
+    return models.walk_forward(rows, list(PREDICTORS), [tuple(r) for r in valid])
 
 
 def q_ridge(spark, d) -> DataFrame:
@@ -274,11 +350,17 @@ def q_logistic(spark, d) -> DataFrame:
     return oof(spark, d).select("candidate_id", "fold", "logistic_score")
 
 
+def q_score_gates(spark, d) -> DataFrame:
+    """The gate of all three scores, and the decision they lead to."""
+    scored = stage(oof(spark, d), "oof")
+    gates = research.score_gates(scored, ("raw_score", "ridge_score", "logistic_score"))
+    status = research.fold_status(members(spark, d), MIN_TRAIN, MIN_TEST)
+    return gates.join(research.decide(gates, status, MIN_OOF, MIN_FOLDS).select("setup_family", "valid_folds", "decision"), "setup_family")
+
+
 def ensemble(spark, d):
-    f = featured(spark, d)
-    s = signals.combine([signals.materialize(signals.EveryNth(name, config={"modulus": m}), f) for name, m in (("nth_five", 5), ("nth_seven", 7))])
-    rows = research.research_table(s, outcomes.outcomes(s, f), f, ("development", "integration_holdout", "final_ticker_holdout")).filter(F.col(Y).isNotNull())
-    rows = rows.withColumns({"y_return": F.col(Y), "y_target": (F.col(Y) > 0).cast("int")}).cache()
+    rows = research.evaluable(researched(spark, d)).select("candidate_id", "setup_family", "raw_setup_strength", "y_return", "y_target", *ft.NAMES)
+    rows = stage(rows, "ensemble")
     config = models.EnsembleConfig(PREDICTORS, ("return_60", "realized_vol_20"))
     return models.GatedEnsemble(config).fit(rows), rows
 
@@ -305,7 +387,7 @@ def q_store_fingerprint(spark, d) -> DataFrame:
 
 def q_flagship(spark, d) -> DataFrame:
     rows = labelled(spark, d, DEMO)
-    return rounded(rows.groupBy("barrier_2r_20_result").agg(F.count("*").alias("n"), F.avg(Y).alias("mean_h20_return")))
+    return rounded(rows.groupBy("barrier_2r_20_result").agg(F.count("*").alias("n"), F.avg(research.RETURN).alias("mean_h20_return")))
 
 
 QUERIES = {
@@ -317,14 +399,14 @@ QUERIES = {
     "segments": q_segments, "segment_summary": q_segment_summary,
     **{f"feat_{g}": partial(q_features, g) for g in ft.GROUPS},
     "feature_quality": q_quality,
-    "demo_candidates": q_demo, "probe_candidates": q_probe, "entry_alignment": q_entry, "candidate_diagnostics": q_diagnostics, "prefix_causality": q_causality, "combine_union": q_combine,
-    "outcome_core": q_core, "outcome_horizons_long": partial(q_horizons, PROBE), "outcome_horizons_short": partial(q_horizons, SHORT), "first_touch_long": partial(q_touch, PROBE), "first_touch_short": partial(q_touch, SHORT),
-    "barriers_long": partial(q_barriers, PROBE), "barriers_short": partial(q_barriers, SHORT), "outcome_accounting": q_accounting,
+    "demo_candidates": q_demo, "probe_candidates": q_probe, "entry_alignment": q_entry, "candidate_diagnostics": q_diagnostics, "candidate_counts": q_diagnostic_counts, "combine_union": q_combine,
+    "candidate_rows": q_canonical, "candidate_checks": q_row_checks, "context_checks": q_context, "bar_checks": q_bar_checks, "outcome_checks": q_outcome_checks, "leakage_checks": q_leakage,
+    "prefix_causality": partial(q_causality, DEMO), "prefix_causality_peek": partial(q_causality, PEEK),
+    "outcome_core": q_core, "outcome_horizons_long": partial(q_horizons, EVERY), "outcome_horizons_short": partial(q_horizons, EVERY_SHORT), "first_touch_long": partial(q_touch, EVERY), "first_touch_short": partial(q_touch, EVERY_SHORT),
+    "barriers_long": partial(q_barriers, EVERY), "barriers_short": partial(q_barriers, EVERY_SHORT), "outcome_accounting": q_accounting,
     "ticker_split": q_split, "temporal_partition": q_period,
-    "research_join": q_research, "anti_missing_outcomes": q_anti, "universe_diff": q_universe_diff, "walkforward_folds": q_folds, "fold_status": q_fold_status,
+    "research_join": q_research, "family_counts": q_family_counts, "anti_missing_outcomes": q_anti, "universe_diff": q_universe_diff, "walkforward_folds": q_folds, "fold_status": q_fold_status,
     "rank_metrics": q_rank, "auc": q_auc, "brier": q_brier, "gate_decision": q_gate, "impute_standardize": q_impute,
-    "ridge_oof": q_ridge, "logistic_oof": q_logistic, "ensemble_predict": q_ensemble, "specialist_metadata": q_specialists,
-    **{f"{n}_every_bar": partial(q, generator=EVERY) for n, q in (("outcome_core", q_core), ("outcome_accounting", q_accounting), ("research_join", q_research), ("walkforward_folds", q_folds), ("fold_status", q_fold_status), ("rank_metrics", q_rank), ("gate_decision", q_gate))},
-    **{f"{n}_every_bar_{x}": partial(q, g) for n, q in (("outcome_horizons", q_horizons), ("first_touch", q_touch), ("barriers", q_barriers)) for x, g in (("long", EVERY), ("short", EVERY_SHORT))},
+    "ridge_oof": q_ridge, "logistic_oof": q_logistic, "score_gates": q_score_gates, "ensemble_predict": q_ensemble, "specialist_metadata": q_specialists,
     "fingerprint": q_fingerprint, "store_fingerprint": q_store_fingerprint,
 }
