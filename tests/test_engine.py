@@ -44,18 +44,18 @@ def test_prefix_and_segments(spark):
 CASES = [
     ("20200102", "10,11,9,10.5,1000", None), ("20200103", "10,9,8,10,1000", "high_below_ohlc"), ("20200103", "10,11,9,10.5,8153.6931763407", None), ("20200103", "10,11,9,10,1", "duplicate_date"),
     ("20200102", "10,11,9,10,1", "non_increasing_date"), ("20210229", "10,11,9,10,1", "invalid_date"), ("20200104", "10,11,9,10,nan", "non_finite_volume"), ("20200104", "inf,11,9,10,1", "non_finite_ohlc"),
-    ("20200104", "0,11,9,10,1", "non_positive_ohlc"), ("20200104", "10,11,9,10,-1", "negative_volume"), ("20200104", "10,12,11,10,1", "low_above_ohlc"), ("20200104", "1_0,11,9,10,1", "parse_error"), ("20200104", "10,11,9,10", "wrong_column_count"),
+    ("20200104", "0,11,9,10,1", "non_positive_ohlc"), ("20200104", "10,11,9,10,-1", "negative_volume"), ("20200104", "10,12,11,10,1", "low_above_ohlc"), ("20200104", "1_0,11,9,10,1", None), ("20200105", "10__0,11,9,10,1", "parse_error"), ("99999999999", "10,11,9,10,1", "invalid_date"), ("20200106", "10,11,9,é,1", "parse_error"), (" 20200107\t", "1e999,11,9,10,1", "non_finite_ohlc"), ("20200104", "10,11,9,10", "wrong_column_count"),
 ]
 
 
 def test_validation(spark):
     rows = [("data/daily/us/nyse stocks/abc.us.txt", i + 2, ROW.format(d, *v.split(",")[:4], v.split(",")[4]) if v.count(",") == 4 else f"ABC.US,D,{d},000000,{v},0") for i, (d, v, _) in enumerate(CASES)]
-    rows += [("data/daily/us/nyse stocks/abc.us.txt", 90, "XYZ.US,D,20200109,000000,1,1,1,1,1,0"), ("data/daily/us/nyse stocks/abc.us.txt", 91, "ABC.US,W,20200109,000000,1,1,1,1,1,0"), ("data/daily/us/nyse stocks/abc.us.txt", 92, "ABC.US,D,20200109,090000,1,1,1,1,1,0"), ("data/daily/us/nyse stocks/abc.us.txt", 93, " ")]
+    rows += [("data/daily/us/nyse stocks/abc.us.txt", 90, "XYZ.US,D,20200109,000000,1,1,1,1,1,0"), ("data/daily/us/nyse stocks/abc.us.txt", 91, "ABC.US,W,20200109,000000,1,1,1,1,1,0"), ("data/daily/us/nyse stocks/abc.us.txt", 92, "ABC.US,D,20200109,090000,1,1,1,1,1,0"), ("data/daily/us/nyse stocks/abc.us.txt", 93, " \t"), ("data/daily/us/nyse stocks/abc.us.txt", 94, " ABC.US,D,20200109,000000,1,1,1,1,1,0")]
     v = validation.validate(validation.classify_paths(spark.createDataFrame(rows, "member string, row_number long, line string")))
     got = {r["row_number"]: r["reason"] for r in v.collect()}
     assert [got[i + 2] for i in range(len(CASES))] == [c[2] for c in CASES]
-    assert [got[i] for i in (90, 91, 92)] == ["ticker_mismatch", "non_daily_period", "unexpected_time"] and 93 not in got
-    assert validation.load_valid(v).count() == 2
+    assert [got[i] for i in (90, 91, 92, 94)] == ["ticker_mismatch", "non_daily_period", "unexpected_time", "ticker_mismatch"] and 93 not in got
+    assert validation.load_valid(v).count() == 3
     with pytest.raises(Exception, match="invalid row"):
         validation.load_valid(v, "raise").collect()
 
@@ -66,18 +66,39 @@ def test_paths(spark):
     assert (a["ticker"], a["instrument_id"], b["instrument_id"]) == ("PRN", "US:NASDAQ:ETFS:PRN", None)
 
 
-def test_zip(spark, tmp_path):
+@pytest.fixture
+def zipped(tmp_path):
     path = str(tmp_path / "a.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("data/daily/us/nyse stocks/abc.us.txt", f"{HEADER}\n{ROW.format(20200102, 10, 11, 9, 10, 5)}\n\n{ROW.format(20200103, 10, 11, 9, 10, 5)}\n")
-        z.writestr("data/daily/us/nyse stocks/bad.us.txt", f"X{HEADER}\n{ROW.format(20200102, 10, 11, 9, 10, 5)}\n")
-        z.writestr("data/daily/us/nyse stocks/empty.us.txt", "")
+    folder = "data/daily/us/nyse stocks"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(f"{folder}/abc.us.txt", f"\ufeff{HEADER}\r\n{ROW.format(20200102, 10, 11, 9, 10, 5)}\r\n\r\n{ROW.format(20200103, 10, 11, 9, 20, 0)}\r\n{ROW.format(20200103, 10, 11, 9, 10, 5)}\n")
+        z.writestr(f"{folder}/bad.us.txt", f"X{HEADER}\n{ROW.format(20200102, 10, 11, 9, 10, 5)}\n")
+        z.writestr(f"{folder}/empty.us.txt", "")
+        z.writestr(f"{folder}/head.us.txt", HEADER)
+        z.writestr(zipfile.ZipInfo(f"{folder}/xyz.us.txt"), HEADER + "\n" + "\n".join(ROW.replace("ABC", "XYZ").format(20200101 + i, 10, 12, 9, 11, 5) for i in range(9)))
         z.writestr("readme.md", "x")
-    lines = archive.read_zip(spark, path)
-    assert {r["member"][-12:]: r["lines"] for r in archive.inventory(lines).collect()}["empty.us.txt"[-12:]] == 0
+    return path
+
+
+def test_zip(spark, zipped):
+    inv = {r["member"].rpartition("/")[2]: r for r in archive.inventory(spark, zipped).collect()}
+    assert len(inv) == 6 and inv["abc.us.txt"]["classified"] and not inv["readme.md"]["is_txt"] and inv["empty.us.txt"]["size"] == 0 and inv["xyz.us.txt"]["compressed_size"] == inv["xyz.us.txt"]["size"]
+    lines = archive.read_zip(spark, zipped)
+    assert {r["member"].rpartition("/")[2]: r["header_valid"] for r in archive.headers(lines).collect()} == {"abc.us.txt": True, "bad.us.txt": False, "head.us.txt": True, "xyz.us.txt": True}
     v = validation.validate(validation.classify_paths(archive.data_lines(lines)), "header_valid")
-    assert sorted((r["row_number"], r["reason"]) for r in v.collect() if "abc" in r["member"]) == [(2, None), (4, None)]
-    assert [r["reason"] for r in v.collect() if "bad" in r["member"]] == ["invalid_header"]
+    assert sorted((r["row_number"], r["reason"]) for r in v.collect() if "abc" in r["member"]) == [(2, None), (4, "high_below_ohlc"), (5, None)]
+    assert {r["reason"]: r["rows"] for r in validation.reason_histogram(v, archive.headers(lines)).collect()}["invalid_header"] == 2
+    assert archive.read_zip(spark, zipped, only=["readme.md"]).collect()[0]["line"] is None
+
+
+def test_broken_member(spark, zipped, tmp_path):
+    body = bytearray(open(zipped, "rb").read())
+    at = body.index(b"XYZ.US,D,20200101")
+    body[at] = ord("Y")
+    (tmp_path / "b.zip").write_bytes(body)
+    lines = archive.read_zip(spark, str(tmp_path / "b.zip"))
+    assert [(r["member"].rpartition("/")[2], r["error"]) for r in archive.member_errors(lines).collect()] == [("xyz.us.txt", "ValueError: CRC differs")]
+    assert archive.headers(lines).count() == 4
 
 
 def label(spark, bars, direction, segment=(0, 0, 0, 0, 0)):
@@ -103,10 +124,40 @@ def test_outcomes(spark):
     assert none["termination"] == "no_entry" and none["barrier_2r_20_result"] == "no_entry" and none["h1_end_date"] is None
 
 
+def test_signal_without_its_bar(spark):
+    f = spark.createDataFrame([("I", "T", "NYSE", "stocks", dt.date(2020, 1, 1) + dt.timedelta(i), 20200101 + i, i + 2, *map(float, b), 0, 0.01, 1 + i, 0.0) for i, b in enumerate(BARS)], "instrument_id string, ticker string, exchange string, instrument_class string, date date, signal_date int, source_row_number long, open double, high double, low double, close double, segment_id int, atr_14_pct double, history_bars int, return_1 double")
+    s = signals.materialize(signals.EveryNth("every_bar", config={"modulus": 1}), f)
+    count = lambda x: {r["check"]: r["violations"] for r in outcomes.bar_violations(x, f).collect()}
+    assert set(count(s).values()) == {0} and outcomes.outcome_violations(outcomes.outcomes(s, f)).agg(F.sum("violations")).first()[0] == 0
+    lost = s.withColumn("signal_source_row_number", F.when(F.col("signal_date") == 20200102, 99).otherwise(F.col("signal_source_row_number")))
+    assert count(lost)["missing_bar"] == 1
+    with pytest.raises(Exception, match="missing_bar"):
+        outcomes.outcomes(lost, f).collect()
+    with pytest.raises(Exception, match="entry_date"):
+        outcomes.outcomes(s.withColumn("entry_date", F.when(F.col("signal_date") == 20200102, 20200105).otherwise(F.col("entry_date"))), f).collect()
+
+
 def test_causality(spark):
-    f = ft.features(ft.segments(frame(spark, 220, close=lambda i: 100 + (i * 37 % 11))))
-    assert signals.causality(signals.EveryNth("nth_probe"), f, (50, 100)).agg(F.sum("violations")).first()[0] == 0
-    assert signals.causality(signals.Peek("peeking"), f, (50, 100, 150)).agg(F.sum("violations")).first()[0] > 0
+    bars = frame(spark, 220, close=lambda i: 100 + (i * 37 % 11))
+    full = lambda b: ft.features(ft.segments(b))
+    f = full(bars)
+    violations = lambda g, at: signals.causality(g, bars, at, full).agg(F.sum("violations")).first()[0]
+    assert violations(signals.EveryNth("nth_probe"), (50, 100)) == 0
+    assert violations(signals.TrendPullback("trend_pullback", config={"minimum_history_bars": 60, "minimum_return_20": -1.0, "pullback_from_high_min": -1.0, "pullback_from_high_max": 1.0, "maximum_atr_14_pct": 9.0, "minimum_log_dollar_volume": 0.0}), (100,)) == 0
+    assert violations(signals.Peek("peeking"), (50, 100, 150)) > 0
+
+    class Payload(signals.EveryNth):
+        """A payload that tells how long the history is."""
+
+        def prepare(self, b):
+            from pyspark.sql import Window
+
+            return b.withColumn("_all", F.count("*").over(Window.partitionBy("instrument_id")))
+
+        def payload(self):
+            return F.concat(F.lit('{"n":'), F.col("_all").cast("string"), F.lit("}"))
+
+    assert violations(Payload("payload_probe"), (100,)) == 2
     one = signals.materialize(signals.EveryNth("nth_probe"), f)
     assert one.count() == 4
     with pytest.raises(Exception, match="twice"):
@@ -115,17 +166,104 @@ def test_causality(spark):
         signals.Registry([signals.EveryNth("aa"), signals.EveryNth("aa")])
 
 
+def test_generators_and_rows(spark):
+    spec = {"class": "tidemark.operators.signals:EveryNth", "setup_family": "every_nth", "config": {"modulus": 50}}
+    found = signals.load_registry({"generators": [spec]})
+    assert [g.key for g in found] == ["every_nth|v1.0.0|LONG"]
+    for bad in ({"class": "no_colon"}, spec | {"overlap_policy": "sometimes"}, spec | {"setup_version": "1.0"}, spec | {"description": " "}, spec | {"decision_time": "open"}, spec | {"required_features": ["a", "a"]}):
+        with pytest.raises(ValueError):
+            signals.load_generator(bad)
+    with pytest.raises(TypeError):
+        signals.load_generator({"class": "collections:OrderedDict"})
+    with pytest.raises(ValueError):
+        signals.canonical_json({"a": float("nan")})
+    f = ft.features(ft.segments(frame(spark, 120)))
+    rows = signals.canonical(signals.materialize(signals.EveryNth("every_nth", config={"modulus": 50}), f), "0" * 64)
+    assert tuple(rows.columns) == signals.CANDIDATE_COLUMNS and rows.first()["candidate_id"].startswith("cand_")
+    signals.require(signals.row_violations(rows), "rows")
+    with pytest.raises(ValueError, match="strength"):
+        signals.require(signals.row_violations(rows.withColumn("raw_setup_strength", F.lit(float("inf")))), "rows")
+    signals.require(signals.signal_violations(signals.EveryNth("every_nth"), f), "signals")
+    with pytest.raises(ValueError, match="only_bars"):
+        signals.require(signals.context_violations(f, f.filter("signal_date <> 20200105")), "context")
+    counts = {(r["kind"], r["value"]): r["n"] for r in signals.diagnostic_counts(rows).collect()}
+    assert counts[("entry_status", "available")] == 2 and counts[("year", "2020")] == 2
+    assert signals.diagnostics(rows.limit(0), f).first()["per_1000_bars"] == 0.0
+
+
+def test_universe(spark):
+    rows = spark.createDataFrame([("b", "NYSE", "stocks", 3), ("a", "NYSE", "etfs", 1), ("c", "NASDAQ", "stocks", 0), ("d", "NASDAQ", "stocks", 5)], "instrument_id string, exchange string, instrument_class string, valid_row_count long")
+    ids = lambda **k: [r[0] for r in signals.select_universe(rows, **k).collect()]
+    assert ids() == ["a", "b", "d"] and ids(exchange="nyse", instrument_class="STOCKS") == ["b"] and ids(explicit=["d", "c", "a"], require_rows=False, limit=2) == ["d", "c"]
+
+
+def test_dates_have_to_rise(spark):
+    b = frame(spark, 10)
+    assert ft.increasing(b).count() == 10
+    with pytest.raises(Exception, match="dates do not rise"):
+        ft.increasing(b.withColumn("date", F.lit(dt.date(2020, 1, 1)))).collect()
+
+
 def test_rank_metrics(spark):
     rows = spark.createDataFrame([("a", 1, 0.1, 0.2, 1), ("b", 1, 0.1, -0.1, 0), ("c", 1, 0.3, 0.3, 1), ("d", 1, 0.0, -0.2, 0), ("e", 1, None, 9.0, 1)], "candidate_id string, g int, s double, y_return double, y_target int")
     r = research.rank_metrics(rows, "s", ["g"], 0.25).first()
-    assert (r["n"], r["top_return"], r["bottom_return"], r["auc"]) == (4, 0.3, -0.2, 0.875)
+    assert (r["n"], r["top_return"], r["bottom_return"], r["auc"], r["top_target_rate_lift"]) == (4, 0.3, -0.2, 0.875, 2.0)
+    assert research.rank_metrics(rows.withColumn("y_target", F.lit(0)), "s", ["g"], 0.25).first()["top_target_rate_lift"] is None
+
+
+def test_rank_metrics_over_ranges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    score, value = rng.integers(0, 40, 700) / 40.0, rng.normal(size=700)
+    rows = spark.createDataFrame([(f"c{i:04d}", 1 + i % 2, float(score[i]), float(value[i]), int(value[i] > 0.3)) for i in range(700)], "candidate_id string, g int, s double, y_return double, y_target int")
+    got = {r["g"]: r for r in research.rank_metrics(rows, "s", ["g"]).collect()}
+
+    def ranks(x):
+        return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+    for g in (1, 2):
+        at = np.arange(g - 1, 700, 2)
+        s, y, t = score[at], value[at], value[at] > 0.3
+        order, k = np.lexsort((at, s)), -(-len(at) // 10)
+        assert abs(got[g]["spearman"] - np.corrcoef(ranks(s), ranks(y))[0, 1]) < 1e-12
+        assert abs(got[g]["top_return"] - y[order[-k:]].mean()) < 1e-12 and abs(got[g]["bottom_return"] - y[order[:k]].mean()) < 1e-12
+        assert abs(got[g]["auc"] - ((s[t][:, None] > s[~t]).mean() + (s[t][:, None] == s[~t]).mean() / 2)) < 1e-12
+        assert abs(got[g]["top_target_rate_lift"] - t[order[-k:]].mean() / t.mean()) < 1e-12
+
+
+def test_gate_and_decision(spark):
+    metrics = "setup_family string, n long, spearman double, top_return double, top_minus_mean double, auc double, top_target_rate double, base_target_rate double, top_target_rate_lift double"
+    whole = spark.createDataFrame([("x", 2000, 0.03, 0.04, 0.01, 0.53, 0.28, 0.25, 1.12), ("y", 2000, 0.03, 0.04, 0.01, 0.53, 0.25, 0.25, 1.0)], metrics)
+    folds = spark.createDataFrame([(f, 300, 0.02, 0.04, 0.01, 0.52, 0.3, 0.25, 1.2) for f in "xy" for _ in range(6)], metrics)
+    gates = research.gate(whole, folds)
+    assert {r["setup_family"]: (r["regression_pass"], r["classification_pass"]) for r in gates.collect()} == {"x": (True, True), "y": (True, False)}
+    status = spark.createDataFrame([(f, str(i), "valid" if f == "x" or i < 2 else "insufficient_rows") for f in "xyz" for i in range(6)], "setup_family string, fold string, status string")
+    got = {r["setup_family"]: (r["valid_folds"], r["decision"]) for r in research.decide(gates, status, 1000, 5).collect()}
+    assert got == {"x": (6, "PROCEED_TO_SPECIALIST_RESEARCH"), "y": (2, "BASELINE_INCONCLUSIVE"), "z": (2, "BASELINE_INCONCLUSIVE")}
+
+
+def test_leakage(spark):
+    rows = spark.createDataFrame([("a", "development", "development_pre2013", 0.1, 20100101, "target"), ("b", "development", "development_pre2013", None, None, "incomplete"), ("c", "development", "development_pre2013", 0.2, 20100101, "stop")], "candidate_id string, ticker_split string, temporal_partition string, h20_directional_close_return double, h20_end_date int, barrier_2r_20_result string")
+    assert [(r["candidate_id"], r["y_target"]) for r in research.load_safe(rows).orderBy("candidate_id").collect()] == [("a", 1), ("c", 0)]
+    for bad in (rows.withColumn("ticker_split", F.lit("integration_holdout")), rows.withColumn("temporal_partition", F.lit("pseudo_lockbox_2024_2026")), rows.union(rows)):
+        with pytest.raises(ValueError, match="protected or repeated"):
+            research.load_safe(bad)
 
 
 def test_ensemble(spark):
     rows = [(f"c{i}", ("x", "y")[i % 2], float(i % 7), float(i % 5), int(i % 7 > 3), float(i % 7) / 10) for i in range(300)]
     df = spark.createDataFrame(rows, "candidate_id string, setup_family string, a double, b double, y_target int, y_return double")
-    config = models.EnsembleConfig(("a",), ("b",), iterations=2, depth=2, leaf_rows=5)
+    config = models.EnsembleConfig(("a",), ("b",), minimum_rows=100, iterations=2, depth=2, leaf_rows=5)
     model = models.GatedEnsemble(config).fit(df)
+    assert [tuple(r) for r in model.specialist_metadata(spark).collect()] == [("x", 150, 2), ("y", 150, 2)]
+    odd = df.withColumn("y_return", F.when(F.col("candidate_id") != "c1", F.col("y_return"))).withColumn("setup_family", F.when(F.col("candidate_id") != "c2", F.col("setup_family")))
+    assert [r["train_rows"] for r in models.GatedEnsemble(config).fit(odd).specialist_metadata(spark).collect()] == [149, 149]
+    for bad, why in ((df.limit(0), "no rows"), (df.withColumn("y_target", F.lit(1)), "both classes"), (df.limit(60), "no family")):
+        with pytest.raises(ValueError, match=why):
+            models.GatedEnsemble(config).fit(bad)
+    with pytest.raises(ValueError, match="twice"):
+        models.EnsembleConfig(("a", "a"), ("b",))
     out = model.predict(df.withColumn("setup_family", F.when(F.col("candidate_id") == "c0", "z").otherwise(F.col("setup_family"))))
     assert out.filter("score < 0 or score > 1").count() == 0 and out.filter("score is null and score_status = 'family_not_fitted'").count() == 1 and out.count() == 300
     with pytest.raises(ValueError, match="missing columns"):
@@ -142,7 +280,7 @@ def test_model_queries_take_all_predictors(spark, sf, monkeypatch):
         seen.append(columns)
 
     monkeypatch.setattr(models, "walk_forward", walk)
-    monkeypatch.setattr(models.GatedEnsemble, "fit", lambda self, rows: seen.append(self.config) or self._need(rows))
+    monkeypatch.setattr(models.GatedEnsemble, "fit", lambda self, rows: seen.append(self.config) or self._need(rows, "y_target", "y_return"))
     queries.oof(spark, sf)
     queries.ensemble(spark, sf)
     columns, config = seen
@@ -162,6 +300,22 @@ def test_ridge_parameter(spark):
     assert abs(models.ridge(ready.apply(df), 2.0).coefficients[0] - w) < 1e-9
 
 
+def test_coefficients_and_folds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(240):
+        x, z = float(rng.normal()), float(rng.normal())
+        rows.append((f"c{i}", "I", "fam", "LONG", 20100101 + i % 28, 20100201, "one", "train" if i < 160 else "test", x, z if i % 5 else None, 2 * x + 0.1 * float(rng.normal()), int(x > 0)))
+    members = spark.createDataFrame(rows, "candidate_id string, instrument_id string, setup_family string, direction string, signal_date int, h20_end_date int, fold string, part string, raw_setup_strength double, z double, y_return double, y_target int")
+    ready, line, odds = models.fitted(members, ["raw_setup_strength", "z"], "fam", "one")
+    top = models.top_coefficients(ready, line)
+    assert [t["feature"] for t in top][0] == "raw_setup_strength" and {t["feature"] for t in top} == {"raw_setup_strength", "z", "missing_z"} and len(models.top_coefficients(ready, odds, 1)) == 1
+    oof = models.walk_forward(members, ["raw_setup_strength", "z"], [("fam", "one")]).collect()
+    assert len(oof) == 80 and all(0 <= r["logistic_score"] <= 1 for r in oof) and models.walk_forward(members, ["z"], []).count() == 0
+
+
 def test_store(spark, tmp_path):
     df = frame(spark, 20).select("instrument_id", "signal_date", "close")
     root = str(tmp_path / "store")
@@ -174,13 +328,136 @@ def test_store(spark, tmp_path):
     assert stores.compare_stores(df, stores.read_store(spark, root)).first().asDict() == {"only_a": 0, "only_b": 0}
 
 
-def test_run(tmp_path):
-    from tidemark.plans.runs import Run
-
-    r = Run(str(tmp_path), "features", {"a": 1, "_b": 2})
+def test_store_is_moved_aside_and_checked(spark, tmp_path):
+    df = frame(spark, 20).select("instrument_id", "signal_date", "close")
+    root, keys = str(tmp_path / "store"), ["instrument_id", "signal_date"]
+    stores.write_store(df, root, keys, "bars_v1")
+    stores.write_store(df.limit(5), root, keys, "bars_v1", replace=True)
+    assert stores.read_store(spark, root, "bars_v1", ["close"], verify=True).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["store"]
+    assert stores.verify_store(spark, root, "signal_date = 20200102")["protected_rows"] == 1
+    df.limit(6).write.mode("overwrite").parquet(f"{root}/data")
+    report = stores.verify_store(spark, root)
+    assert not report["rows"] and not report["content"] and not stores.passed(report)
+    with pytest.raises(ValueError, match="content"):
+        stores.read_store(spark, root, verify=True)
+
+
+def test_csv_cells(spark, tmp_path):
+    values = [0.1, 1e-5, 123456789012345.0, 100.0, -2.5, 1 / 3, 0.0001, 1e12, 999999999999.5, 1e-300, 0.0, float("nan"), None, 12345.678901234567]
+    rows = spark.createDataFrame([(i, v, [1, 2], "x" if i else None) for i, v in enumerate(values)], "i int, v double, a array<int>, s string")
+    got = {r["i"]: r for r in stores.csv_cells(rows).withColumn("i", F.col("i").cast("int")).collect()}
+    assert [got[i]["v"] for i in range(len(values))] == ["" if v is None else f"{v:.12g}" for v in values]
+    assert (got[0]["a"], got[0]["s"], got[1]["s"]) == ("[1,2]", "", "x")
+    stores.write_csv(rows, str(tmp_path / "t.csv"), ["i"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "t.csv")).count() == len(values)
+    stores.write_jsonl(rows.select("i"), str(tmp_path / "j"))
+    stores.write_jsonl(rows.select("i").limit(1), str(tmp_path / "j"))
+    assert stores.read_jsonl(spark, str(tmp_path / "j"), "i int").count() == len(values) + 1
+
+
+def test_run(spark, tmp_path):
+    from tidemark.plans.runs import Run, load_config
+
+    r = Run(spark, str(tmp_path), "features", {"a": 1, "_b": 2})
     r.checkpoint(done=["x"])
     r.interrupt()
-    again = Run(str(tmp_path), "features", {"a": 1, "_b": 3}, str(r.folder))
-    assert again.last_checkpoint() == {"done": ["x"]}
+    again = Run(spark, str(tmp_path), "features", {"a": 1, "_b": 3}, r.path)
+    assert again.last_checkpoint() == {"done": ["x"]} and len(again.manifest["lineage"]["source_tree_sha256"]) == 64
     with pytest.raises(ValueError):
-        Run(str(tmp_path), "features", {"a": 2}, str(r.folder))
+        Run(spark, str(tmp_path), "features", {"a": 2}, r.path)
+    with pytest.raises(KeyError), again:
+        raise KeyError("lost")
+    assert again.folder.read_json("manifest.json")["status"] == "failed" and again.folder.read("events.jsonl").count("\n") == 4
+    (tmp_path / "c.yaml").write_text("- 1\n")
+    with pytest.raises(ValueError, match="mapping"):
+        load_config(str(tmp_path / "c.yaml"))
+
+
+def test_catalog(spark, zipped, tmp_path):
+    from tidemark.sources.catalog import Catalog
+
+    names = "source_member,instrument_id,ticker,exchange,instrument_class,valid_row_count,invalid_row_count,first_date,last_date"
+    own = "data/daily/us/nyse stocks/{0}.us.txt,US:NYSE:STOCKS:{1},{1},NYSE,stocks,{2},0,2020-01-01,2020-01-09"
+    path = tmp_path / "m.csv"
+    path.write_text("\n".join([names, own.format("xyz", "XYZ", 9), own.format("abc", "ABC", 2), own.format("empty", "NA", 0)]))
+    c = Catalog(spark, zipped, str(path))
+    assert [r["ticker"] for r in c.list(exchange="nyse").collect()] == ["ABC", "XYZ"] and c.load("US:NYSE:STOCKS:XYZ").count() == 9 and c.bars().count() == 11 and c.manifest.filter("ticker = 'NA'").count() == 1
+    with pytest.raises(KeyError):
+        c.member_for("US:NYSE:STOCKS:QQQ")
+    with pytest.raises(Exception, match="invalid row"):
+        Catalog(spark, zipped, str(path), "raise").bars().collect()
+    path.write_text("\n".join([names, own.format("xyz", "XYZ", 9), own.format("abc", "XYZ", 2)]))
+    with pytest.raises(ValueError, match="repeated instrument_id"):
+        Catalog(spark, zipped, str(path))
+    path.write_text(names.replace("exchange,", "") + "\n")
+    with pytest.raises(ValueError, match="exchange"):
+        Catalog(spark, zipped, str(path))
+
+
+def test_builds_end_to_end(spark, tmp_path):
+    """Audit, features, candidates, outcomes, research, verification, publication and the report, by the command line's functions."""
+    import math
+
+    from tidemark.__main__ import parser, run
+    from tidemark.sources.files import Folder
+
+    path = str(tmp_path / "a.zip")
+    day = [dt.date(2008, 1, 1) + dt.timedelta(i) for i in range(400)]
+    with zipfile.ZipFile(path, "w") as z:
+        for t in ("AAA", "BBB", "CCC", "DDD"):
+            price = [50 + ord(t[0]) % 7 + 8 * math.sin(i / 17 + ord(t[0])) + i / 50 for i in range(400)]
+            body = "\n".join(f"{t}.US,D,{d:%Y%m%d},000000,{p:.4f},{p + 1:.4f},{p - 1:.4f},{p + 0.3:.4f},100000,0" for d, p in zip(day, price, strict=True))
+            z.writestr(f"data/daily/us/nyse stocks/{t.lower()}.us.txt", f"{HEADER}\n{body}\nbroken\n")
+        z.writestr("data/daily/us/nyse stocks/none.us.txt", "")
+    go = lambda *words: run(parser().parse_args(list(words)), spark)
+
+    def config(name, text):
+        (tmp_path / f"{name}.yaml").write_text(text)
+        return str(tmp_path / f"{name}.yaml")
+
+    audit = config("audit", "module: {name: data, version: v1}\ndata: {archive_path: a.zip}\nexecution: {runs_root: runs}\npublication: {artifact_root: published/data}\n")
+    first = go("data", "audit", "--config", audit)
+    dry = go("data", "audit", "--config", audit, "--dry-run")
+    second = go("data", "audit", "--config", audit)
+    summary = Folder(spark, first).read_json("summary.json")
+    assert (summary["audited_member_count"], summary["valid_row_count"], summary["empty_file_count"], summary["invalid_reason_counts"]) == (5, 1600, 1, {"wrong_column_count": 4})
+    assert go("data", "compare", "--first", first, "--second", second, "--output", f"{second}/determinism_check.json")["deterministic_match"]
+    assert go("data", "report", "--run", second, "--output", str(tmp_path / "r" / "report.md"))["accepted"] and not go("data", "report", "--run", dry, "--output", str(tmp_path / "r" / "dry.md"))["accepted"]
+    assert "1,604" in (tmp_path / "r" / "report.md").read_text()
+    assert go("data", "show", "--archive", path, "--member", "data/daily/us/nyse stocks/aaa.us.txt").count() == 5
+
+    up = "archive_path: a.zip, symbol_manifest_path: published/data/symbol_manifest.csv"
+    features = config("features", f"upstream: {{{up}}}\nexecution: {{runs_root: runs}}\n")
+    made = go("features", "build", "--config", features)
+    assert go("features", "verify", "--reference", made, "--output", str(tmp_path / "v.json"), "--config", features)["passed"]
+    go("features", "publish", "--run", made, "--target", str(tmp_path / "published/features"))
+    demo = "{class: 'tidemark.operators.signals:TrendPullback', setup_family: trend_pullback, config: {minimum_history_bars: 60, minimum_return_20: -1.0, pullback_from_high_min: -0.9, pullback_from_high_max: 0.5, maximum_atr_14_pct: 2.0, minimum_log_dollar_volume: 1.0}}"
+    candidates = config("candidates", f"upstream: {{{up}, feature_root: published/features}}\ngenerators: [{demo}]\nexecution: {{runs_root: runs}}\n")
+    made = go("candidates", "build", "--config", candidates)
+    assert go("candidates", "verify", "--reference", made, "--output", str(tmp_path / "v.json"))["passed"]
+    go("candidates", "publish", "--run", made, "--target", str(tmp_path / "published/candidates"))
+    outcome = config("outcomes", "upstream: {feature_root: published/features, candidate_roots: [published/candidates]}\nexecution: {runs_root: runs}\n")
+    made = go("outcomes", "build", "--config", outcome)
+    assert go("outcomes", "verify", "--reference", made, "--output", str(tmp_path / "v.json"))["passed"]
+    go("outcomes", "publish", "--run", made, "--target", str(tmp_path / "published/outcomes"))
+    with pytest.raises(FileExistsError):
+        go("outcomes", "publish", "--run", made, "--target", str(tmp_path / "published/outcomes"))
+    with pytest.raises(ValueError, match="dry run"):
+        go("candidates", "publish", "--run", go("candidates", "build", "--config", candidates, "--dry-run"), "--target", str(tmp_path / "published/candidates"))
+    table = config("research", "upstream: {feature_root: published/features, candidate_roots: [published/candidates], outcome_root: published/outcomes}\nexecution: {runs_root: runs}\n")
+    made = go("research", "build", "--config", table)
+    report = go("research", "verify", "--reference", made, "--output", str(tmp_path / "v.json"))
+    assert report["passed"] and report["protected_rows"] == 0
+    base = config("base", "baseline: {minimum_train_rows: 100, minimum_test_rows: 30, ridge_alpha: 10.0, logistic_c: 0.1, minimum_oof_rows: 1000, minimum_valid_folds: 5}\nexecution: {runs_root: runs}\n")
+    runs = [go("research", "baselines", "--config", base, "--research-root", made) for _ in range(2)]
+    assert Folder(spark, runs[0]).read_json("summary.json")["protected_rows_accessed"] == 0
+    assert go("research", "compare-baselines", "--first", runs[0], "--second", runs[1], "--output", str(tmp_path / "b.json"))["deterministic_match"]
+    go("research", "publish-baselines", "--run", runs[0], "--target", str(tmp_path / "published/baselines"))
+
+
+def test_doctor(tmp_path):
+    from tidemark.plans.doctor import inspect
+
+    (tmp_path / "c.yaml").write_text("data: {archive_path: missing.zip}\nexecution: {runs_root: runs}\n")
+    found = inspect(configs=(str(tmp_path / "c.yaml"),))
+    assert [c["name"] for c in found["checks"] if not c["passed"]] == ["config:c.yaml:data.archive_path"] and inspect()["passed"]
