@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import shutil
 import tempfile
@@ -91,6 +92,31 @@ def sampled(share, *columns: str):
     return unit < share
 
 
+# --------------------------------------------------------------------------- memory
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def freeing(run):
+    """``run``, after which its worker gives memory back to the system: workers stay and serve later stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 # --------------------------------------------------------------------------- Arrow text
 
 
@@ -205,8 +231,10 @@ def unplanes(b, dtype, n: int, at: int = 0) -> np.ndarray:
 
 def by_bucket(bucket: np.ndarray):
     """(bucket, positions) of each bucket that occurs."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     sorted_ = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
         yield int(sorted_[a]), order[a:b]

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucket_labels, by_bucket, doc_slices, hash_words, load, mix, parts, planes, stage, unplanes, unstage, utf8, word_bounds
+from ._common import bucket_labels, by_bucket, doc_slices, freeing, hash_words, load, mix, parts, planes, stage, unplanes, unstage, utf8, word_bounds
 from .graph import components
 
 _U = np.uint64
@@ -396,7 +396,7 @@ def _verify(n: int, num: int, den: int):
 def _links(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links among ``rows(hub, cell, sid, root, pivot)``."""
     cells = rows.join(texts, "sid").repartition("hub", "cell").sortWithinPartitions("hub", "cell")
-    return stage(cells.select("hub", "cell", "sid", "root", "pivot", "text").mapInArrow(_verify(n, num, den), "a long, b long"), "links")
+    return stage(cells.select("hub", "cell", "sid", "root", "pivot", "text").mapInArrow(freeing(_verify(n, num, den)), "a long, b long"), "links")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, tokens: int = TOKENS) -> DataFrame:
@@ -430,7 +430,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, tokens: int) -> tuple[D
     """``doc_id, tid, n_shingles, sid`` of each row, and ``sid, component_id, root`` of each set."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
-    sets = stage(docs.mapInArrow(_sets(n), "doc_id long, tid long, n_shingles long, sid long"), "sets")
+    sets = stage(docs.mapInArrow(freeing(_sets(n)), "doc_id long, tid long, n_shingles long, sid long"), "sets")
     # one row of each set stands for it: the one with the smallest doc_id
     classes = sets.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), F.col("tid").alias("tid"))).alias("r")).select("sid", "r.rep", "r.tid")
 
@@ -439,8 +439,8 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, tokens: int) -> tuple[D
     band = F.size(F.filter(F.lit(bands), lambda hi: hi < F.col("n_shingles")))
     counts = {r["band"]: r["count"] for r in sets.filter("n_shingles > 0").groupBy(band.alias("band")).count().collect()}  # one row a band
     scheme = Scheme(num, den, tuple(counts.get(i, 0) for i in range(len(bands))))
-    rows = docs.select("text").mapInArrow(_index(n, scheme, pids), "pid int, blob binary").repartition(pids, "pid")
-    shared = stage(rows.mapInArrow(_shared(scheme), SHARED_ROWS), "shared")
+    rows = docs.select("text").mapInArrow(freeing(_index(n, scheme, pids)), "pid int, blob binary").repartition(pids, "pid")
+    shared = stage(rows.mapInArrow(freeing(_shared(scheme)), SHARED_ROWS), "shared")
     members, kept = _hub_members(shared)
     unstage(shared, kept)
 
