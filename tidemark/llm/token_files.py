@@ -27,15 +27,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import load, parts, shared_dir, stage
+from ._common import freeing, load, parts, shared_dir, stage
 
 MAGIC = b"TMDAC\x00\x00\x01"
 STEP = 512
 #: Tokens after which a task starts its next file.
 ROLL = 1 << 24
-#: Characters of texts whose different words are found together, and words that are encoded together.
+#: Characters of texts whose different words are found together, words that are encoded together, and words that are kept.
 CHUNK = 1 << 23
 TOGETHER = 4096
+KNOWN = 600_000
 _BITS = np.array([bin(x).count("1") for x in range(256)], np.int64)
 
 
@@ -120,7 +121,7 @@ class TokenFile:
 
 
 class Encoder:
-    """The tokenizer's ids of many texts, with each different word of a chunk of texts encoded once.
+    """The tokenizer's ids of many texts, with each different word of a chunk of texts encoded once, or known from earlier ones.
 
     A byte-level tokenizer splits a text by a fixed pattern before any merge. A piece has one space at its start or is a run
     of whitespace, so where no run goes on behind a space, a text's ids are those of its words with the space before them.
@@ -140,6 +141,7 @@ class Encoder:
         self.by_word = form.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space") and form["model"]["type"] == "BPE"
         self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self._forget()
         self.n_bytes = np.zeros(max(self.model.get_vocab().values()) + 1, np.int64)
         for token, i in self.model.get_vocab().items():
             self.n_bytes[i] = len(token)  # a character of a byte-level token is a byte
@@ -161,28 +163,52 @@ class Encoder:
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         return list(self.encode_each(texts))
 
+    def _forget(self) -> None:
+        """Known words, with a space before each: the words, all their ids in a row, and where each word's begin."""
+        self.known, self.flat, self.begin = pa.array([], pa.string()), np.zeros(0, self.kind), np.zeros(1, np.int64)
+
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         hard = [i for i, x in enumerate(texts) if not self.by_word or self.RUN.search(x) or any(a in x for a in self.added)]
         kept = dict.fromkeys(hard, "")
         words = pc.split_pattern(pa.array([kept.get(i, x) for i, x in enumerate(texts)], pa.string()), " ")
         offsets, words = words.offsets.to_numpy().astype(np.int64), words.flatten().dictionary_encode()
         which, first = words.indices.to_numpy().astype(np.int64), offsets[:-1]
-        words = words.dictionary.to_pylist()
-        begins: dict[str, int] = {}
-        which[first] = [begins.setdefault(words[w], len(words) + len(begins)) for w in which[first].tolist()]  # no space before them
-        table = self._spaced(words) + [self.whole(x) for x in begins]
-        length = np.array([len(x) for x in table], np.int64)
-        start, n = np.cumsum(length) - length, length[which]
+        words = words.dictionary
+        place = self._places(words)
+        # a text's first word has no space before it
+        begins: dict[int, int] = {}
+        heads = np.array([begins.setdefault(w, len(words) + len(begins)) for w in which[first].tolist()], np.int64)
+        bare = [self.whole(words[w].as_py()) for w in begins]
+        which[first] = heads
+        ids = np.concatenate([self.flat, *bare])
+        length = np.concatenate([self.begin[place + 1] - self.begin[place], [len(x) for x in bare]]).astype(np.int64)
+        start = np.concatenate([self.begin[place], len(self.flat) + np.cumsum([0, *(len(x) for x in bare)])[:-1]]).astype(np.int64)
+        n = length[which]
         ends = np.concatenate([[0], np.cumsum(n)])
-        place = np.repeat(start[which] - ends[:-1], n)
-        place += np.arange(ends[-1])
-        ids = np.concatenate([np.zeros(0, self.kind), *table])[place]
+        at = np.repeat(start[which] - ends[:-1], n)
+        at += np.arange(ends[-1])
+        ids = ids[at]
         at = ends[offsets]
         found = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         for i in hard:
             found[i] = self.whole(texts[i])
         return found
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each of the different words stands among the known ones; new ones are encoded and added."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(place))
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.flatnonzero(pc.is_null(place).to_numpy(zero_copy_only=False))
+        if len(new):
+            out = self._spaced(new.to_pylist())
+            place[0][place[1]] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat = np.concatenate([self.flat, *out])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in out])])
+        return place[0]
+
     def _spaced(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word with a space before it."""
         out: list = [None] * len(words)
@@ -265,7 +291,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")  # ranges are found from a sample of the keys: no texts among them
     ordered = docs.repartitionByRange(max(parts(spark), 8), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
-    ordered = ordered.mapInArrow(_writer(folder, tokenizer, end_id), "path string, first_doc long, n_docs long, n_tokens long, file int")
+    ordered = ordered.mapInArrow(freeing(_writer(folder, tokenizer, end_id)), "path string, first_doc long, n_docs long, n_tokens long, file int")
     written = stage(ordered.select("*", F.spark_partition_id().alias("part")), "manifest")
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     return written.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"), "n_docs", "n_tokens")
@@ -285,7 +311,7 @@ def _reader(batches):
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files."""
     spread = manifest.select("path", "base").repartition(parts(manifest.sparkSession))
-    return spread.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(freeing(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:
