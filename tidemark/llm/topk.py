@@ -33,11 +33,14 @@ def _matrix(frame: pd.DataFrame, dim: int) -> np.ndarray:
     return np.concatenate(frame["v"].to_numpy()).astype(np.float64, copy=False).reshape(-1, dim)
 
 
-def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products of whole-numbered vectors."""
+def exact_scores(q: np.ndarray, v: np.ndarray, top: float) -> np.ndarray:
+    """Integer inner products of whole-numbered vectors; no component of v is larger than ``top``."""
     if not len(v):
         return np.zeros(0, np.int64)
-    if (np.abs(v) @ np.abs(q)).max() < 2.0**62:  # no sum or product leaves 64 bits
+    bound = np.abs(q).sum() * top  # of every partial sum
+    if bound < 2.0**53:  # doubles hold them all
+        return (v @ q).astype(np.int64)
+    if bound < 2.0**62:
         return v.astype(np.int64) @ q.astype(np.int64)
     own = [int(x) for x in q]
     out = [sum(a * int(b) for a, b in zip(own, row, strict=True)) for row in v]
@@ -63,8 +66,9 @@ def search(q_ids, q: np.ndarray, v_ids, v: np.ndarray, k: int) -> pd.DataFrame:
     v = v[first]
     qs, vs = [statistics(q, s) for s in LEVELS], [statistics(v, s) for s in LEVELS]
     found = []
+    most = float(np.abs(v).max()) if len(v) else 0.0
     for i in range(len(q)):
-        slack = 1e-9 * (1 + np.abs(q[i]).sum() * (np.abs(v).max() if len(v) else 0))
+        slack = 1e-9 * (1 + np.abs(q[i]).sum() * most)
         alive = np.flatnonzero(v_ids != q_ids[i])
         if len(alive) > k:
             for mine, theirs in zip(qs, vs, strict=True):
@@ -73,7 +77,7 @@ def search(q_ids, q: np.ndarray, v_ids, v: np.ndarray, k: int) -> pd.DataFrame:
                     best = alive[np.argpartition(-bound, k - 1)[:k]]
                     threshold = np.sort(v[best] @ q[i])[0]
                     alive = alive[bound >= threshold]
-        score = exact_scores(q[i], v[alive])
+        score = exact_scores(q[i], v[alive], most)
         top = np.lexsort((v_ids[alive], -score))[:k]
         found.append((np.full(len(top), q_ids[i]), v_ids[alive][top], score[top]))
     cols = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
