@@ -89,7 +89,10 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return found
     last = dict.fromkeys(KINDS, 0)
-    for end, (kind, size) in automaton().iter(text.translate(SMALL)):  # cues in any case, at the same places
+    small = text.lower()
+    if len(small) != len(text):  # a letter became two
+        small = text.translate(SMALL)
+    for end, (kind, size) in automaton().iter(small):  # cues in any case, at the same places
         at, stop = end + 1 - size, last[kind]
         if at < stop and kind != "ip":
             continue
