@@ -137,19 +137,21 @@ class ArchivePartition(InputPartition):
 class _Stream:
     """The content of an archive, record by record, with no more than one piece in memory; ``inflated`` counts its bytes."""
 
-    PIECE = 1 << 18
+    #: Bytes that are read, and inflated, at a time.
+    PIECE, FEED = 1 << 18, 1 << 13
 
     def __init__(self, raw):
         self.raw, self.data, self.gz, self.buffer, self.inflated = raw, b"", None, bytearray(), 0
+        self.at = 0  # what of data is used
         self.plain = False
         self.left = self.total = None  # raw and inflated bytes that the member still has, where it says so
 
     def _fill(self, least: int) -> bool:
-        while len(self.data) < least:
+        while len(self.data) - self.at < least:
             piece = self.raw.read(self.PIECE)
             if not piece:
                 return False
-            self.data += piece
+            self.data, self.at = self.data[self.at :] + piece, 0
         return True
 
     def _begin(self) -> bool:
@@ -157,12 +159,13 @@ class _Stream:
         self.gz = self.left = self.total = None
         if not self._fill(1):
             return False
-        if self.plain or not self._fill(2) or self.data[:2] != b"\x1f\x8b":
+        at = lambda a, b: self.data[self.at + a : self.at + b]
+        if self.plain or not self._fill(2) or at(0, 2) != b"\x1f\x8b":
             self.plain = True
             return True
         self.gz = zlib.decompressobj(31)
-        if self._fill(12) and self.data[3] & 4 and self._fill(12 + (size := int.from_bytes(self.data[10:12], "little"))):
-            extra = self.data[12 : 12 + size]
+        if self._fill(12) and at(3, 4)[0] & 4 and self._fill(12 + (size := int.from_bytes(at(10, 12), "little"))):
+            extra = at(12, 12 + size)
             while len(extra) >= 4:
                 name, n = extra[:2], int.from_bytes(extra[2:4], "little")
                 if name == b"SL" and n == 8:
@@ -174,15 +177,16 @@ class _Stream:
         if (self.gz is None or self.gz.eof) and not self._begin():
             return False
         if self.plain:
-            self.buffer += self.data
-            self.data = b""
+            self.buffer += self.data[self.at :]
+            self.data, self.at = b"", 0
             return True
         if not self._fill(1):
             return False
-        some = self.data if self.left is None else self.data[: self.left]
+        most = self.FEED if self.left is None else min(self.left, self.FEED)
+        some = self.data[self.at : self.at + most]
         out = self.gz.decompress(some)
         used = len(some) - len(self.gz.unused_data)
-        self.data = self.data[used:]
+        self.at += used
         if self.left is not None:
             self.left -= used
             self.total -= len(out)
@@ -223,8 +227,8 @@ class _Stream:
 
     def _pass_over(self) -> None:
         """The rest of the member, as it is."""
-        k = min(self.left, len(self.data))
-        self.data, rest = self.data[k:], self.left - k
+        k = min(self.left, len(self.data) - self.at)
+        self.at, rest = self.at + k, self.left - k
         if rest and self.raw.seekable():
             self.raw.seek(rest, 1)
         elif rest:
@@ -256,9 +260,9 @@ def read_archive(raw, wanted, payload: bool) -> Iterator[tuple]:
         body = None
         if payload and row["record_type"] == "response":
             body = stream.take(rest)
+            stream.skip(4)
         else:
-            stream.skip(rest)
-        stream.skip(4)
+            stream.skip(rest + 4)
         yield row["page_id"], row["url"], row["record_type"], row["refers_to"], int(m[1]) if m else rest, row["payload_digest"], body
 
 
