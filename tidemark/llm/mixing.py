@@ -23,6 +23,8 @@ from ._common import load, stage
 WEIGHTS = (5, 2, 1)
 #: Bits of the hash that each level of the histograms looks at, from the highest.
 LEVELS = (10, 11, 11)
+#: Most sources whose plan is broadcast to the documents.
+FEW = 100_000
 
 
 def targets(sized: DataFrame, share_num: int, share_den: int, most: int) -> DataFrame:
@@ -85,7 +87,9 @@ def _plan(slim: DataFrame, share_num: int, share_den: int, most: int) -> DataFra
     marks = _thresholds(slim, budgets).groupBy("source").agg(F.max("threshold").alias("threshold")).withColumnRenamed("source", "s")
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = goal.join(marks, F.col("source").eqNullSafe(F.col("s")), "left")
-    return stage(plan.select(F.col("source").alias("own"), "source_size", "target", "whole", "threshold"), "plan")
+    plan = stage(plan.select(F.col("source").alias("own"), "source_size", "target", "whole", "threshold"), "plan")
+    # a row for each source: with few sources a hot one must not gather its documents in one task
+    return F.broadcast(plan) if plan.count() <= FEW else plan
 
 
 def _times():
