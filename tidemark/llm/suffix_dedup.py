@@ -10,6 +10,8 @@ suffix of the corpus would shuffle many times its size, so the strings that can
 3. Stretches with one anchor meet. Where they differ, the difference-cover algorithm sorts their suffixes: triples of the
    sample positions are sorted and named, the names are sorted by recursion, the other suffixes merged in, and neighbouring
    suffixes are compared over ``length`` bytes. Each run of equal prefixes takes its smallest doc_id.
+   An anchor with ``HOT`` stretches or more, as a passage in very many different surroundings has, goes window by window
+   instead: windows meet by 128 bits of hash in partial minima, so no task holds the anchor's stretches.
 4. Windows whose smallest doc_id is below their document's go; documents are joined with their ranges.
 
 Copies of a whole text need none of this: all but the smallest doc_id lose every byte, if the text has ``length`` bytes.
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import _BYTES, bucket_labels, by_bucket, doc_slices, load, mix, parts, planes, stage, unplanes, utf8
+from ._common import _BYTES, bucket_labels, by_bucket, doc_slices, load, mix, parts, planes, sampled, stage, unplanes, utf8
 
 _U = np.uint64
 #: Bytes of a k-gram; windows may be at most GRAM + 63 bytes long.
@@ -37,6 +39,10 @@ CHUNK = 12 << 20
 PIECE = 4 << 20
 #: Ids of at most so many bytes are broadcast to narrow a scan; beyond, the join shuffles.
 SMALL = 8 << 20
+#: Stretches of an anchor from which its windows are spread over all tasks.
+HOT = 50_000
+#: Stretches of an anchor that show whether it has ``HOT``.
+LOOK = 1000
 
 
 # ------------------------------------------------------------------ suffix array
@@ -188,7 +194,7 @@ def text_id(b: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(b)).astype(np.int64))
 
 
-FACTS = "doc_id long, tid long, n_bytes long, sha string"
+FACTS = "doc_id long, jid long, tid long, n_bytes long, sha string"
 
 
 def _facts(batches):
@@ -199,7 +205,7 @@ def _facts(batches):
             text = data[a:b].tobytes()
             rows.append((text_id(text), len(text), hashlib.sha256(text).hexdigest()))
         t, n, s = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.string())], ["doc_id", "tid", "n_bytes", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("jid"), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.string())], ["doc_id", "jid", "tid", "n_bytes", "sha"])
 
 
 def _blobs(kind: int, bucket: np.ndarray, h: np.ndarray, t: np.ndarray):
@@ -517,12 +523,60 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.string())], ["doc_id", "tid", "gone", "runs", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, a row for each row of ``docs``."""
+def _windows(length: int):
+    """Rows (w, doc_id, nth, at): the hash of each window of a stretch and each place where it starts."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, nth, body, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "nth", "body", "places")), strict=True):
+                own = [xxhash.xxh3_128_digest(body[i : i + length]) for i in range(len(body) - length + 1)]
+                rows += [(w, doc, nth, int(at) + i) for at in np.frombuffer(places, np.int64) for i, w in enumerate(own)]
+            for i in range(0, len(rows), 100_000):
+                w, d, n, at = zip(*rows[i : i + 100_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.int64())], ["w", "doc_id", "nth", "at"])
+
+    return run
+
+
+def _lost_windows(length: int, pids: int):
+    """Lost windows (doc_id, nth, at) as packed ranges, as ``_decide`` gives them."""
+
+    def run(batches):
+        labels = bucket_labels(pids)
+        for batch in batches:
+            doc, nth, at = (batch.column(c).to_numpy() for c in ("doc_id", "nth", "at"))
+            order = np.lexsort((at, nth, doc))
+            doc, nth, at = doc[order].astype(np.int64), nth[order].astype(np.int64), at[order].astype(np.int64)
+            if not len(doc):
+                continue
+            heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1])]))
+            found = [_ranges(at[a:b], length) for a, b in zip(heads, [*heads[1:], len(doc)], strict=True)]
+            rows = []
+            for pid, some in by_bucket(mix(doc[heads].view(_U)).view(np.int64) % pids):
+                counts = np.array([len(found[i]) for i in some], np.int64)
+                body = np.concatenate([found[i] for i in some]).ravel()
+                rows.append((labels[pid], b"".join([np.array([len(some), len(body)], np.int64).tobytes(), *(planes(x) for x in (doc[heads][some], nth[heads][some], counts, body))])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "blob"])
+
+    return run
+
+
+def _by_window(shared: DataFrame, length: int, pids: int) -> DataFrame:
+    """What ``_decide`` gives, for anchors whose stretches are too many for a task."""
+    windows = stage(shared.mapInArrow(_windows(length), "w binary, doc_id long, nth int, at long"), "windows")
+    least = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").select("w", "first")
+    lost = windows.join(least, "w").filter("doc_id > first").select("doc_id", "nth", "at")
+    return lost.mapInArrow(_lost_windows(length, pids), "pid int, blob binary")
+
+
+def suffix_dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, a row for each row of ``docs``. ``hot`` changes no result."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = stage(docs.mapInArrow(_facts, FACTS), "facts")
-    first = facts.filter(f"doc_id is not null and n_bytes >= {length}").groupBy("tid").agg(F.min("doc_id").alias("first"))
+    # two hashes of a text: the one that Python takes, and the JVM's, by which texts join without being hashed again
+    facts = stage(docs.withColumn("jid", F.xxhash64("text")).mapInArrow(_facts, FACTS), "facts")
+    first = facts.filter(f"doc_id is not null and n_bytes >= {length}").groupBy("tid").agg(F.min("doc_id").alias("first"), F.min("jid").alias("jid"))
 
     p = parts(spark)
     entries = docs.filter("doc_id is not null").select("text").mapInArrow(_entries(length, p), "pid int, blob binary").repartition(p, "pid")
@@ -534,10 +588,21 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     ids = wanted.select("doc_id").distinct()
     if ids.count() * 16 <= SMALL:
         some = some.join(F.broadcast(ids), "doc_id", "left_semi")
-    found = some.join(wanted, "doc_id").select("doc_id", "nth", "tid", "text", "hs")
+    found = some.withColumn("jid", F.xxhash64("text")).join(wanted, ["doc_id", "jid"]).select("doc_id", "nth", "tid", "text", "hs")
     stretches = stage(found.mapInArrow(_stretches(length), STRETCHES), "stretches")
 
-    lost = stretches.filter("kind = 1").select("anchor", "k", "doc_id", "nth", "body", "places").repartition(p, "anchor").mapInArrow(_decide(length, p), "pid int, blob binary")
+    shared = stretches.filter("kind = 1").select("anchor", "k", "doc_id", "nth", "body", "places")
+    # the way an anchor goes changes no result, so a part of its stretches is enough to choose it
+    part = min(1.0, LOOK / hot)
+    often = shared.filter(sampled(part, "anchor", "doc_id", "k")).groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= max(1, int(hot * part)))
+    often = stage(often.select("anchor"), "often")
+    pieces_ = None
+    if not often.isEmpty():
+        pieces_ = _by_window(shared.join(often, "anchor", "left_semi"), length, p)
+        shared = shared.join(often, "anchor", "left_anti")
+    lost = shared.repartition(p, "anchor").mapInArrow(_decide(length, p), "pid int, blob binary")
+    if pieces_ is not None:
+        lost = lost.unionByName(pieces_)
     lost = lost.repartition(p, "pid").mapInArrow(_gather, "doc_id long, nth int, lost binary")
     pending = stretches.filter("kind = 0").select("doc_id", "nth", "tid", "body", "places")
     cut = pending.join(lost, ["doc_id", "nth"], "left").mapInArrow(_cut, "doc_id long, tid long, gone long, runs long, kept string").dropDuplicates(["doc_id", "tid"])
