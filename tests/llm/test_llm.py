@@ -188,6 +188,9 @@ def test_suffix_array():
 def test_suffix_dedup(spark, corpus):
     rows = corpus[:60] + [(2000 + i, "shti " * (20 + i) + f"q{i}" * 9, "s") for i in range(8)] + corpus[90:96] + [(1, corpus[0][1], "s"), (1, corpus[0][1], "s")]
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs(spark, rows)).collect())) == brute_dedup(rows)
+    # every anchor window by window, or only those with a few stretches
+    for hot in (1, 3):
+        assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs(spark, rows), hot=hot).collect())) == brute_dedup(rows)
 
 
 def test_tokens(spark):
