@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import chain
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import models, outcomes, research, signals, validation
 from ..operators.bars import bars, int_date
-from ..sources.staging import stage
+from ..sources import archive, stores
+from ..sources.staging import shared_dir, stage
 from ..sources.stores import fingerprint
 
 LIQUID = {"minimum_history_bars": 60, "minimum_log_dollar_volume": 5.0, "maximum_atr_14_pct": 2.0, "minimum_return_20": -1.0, "pullback_from_high_min": -0.9, "pullback_from_high_max": 0.5}
@@ -90,6 +92,43 @@ def q_validate(spark, d) -> DataFrame:
     return validated(spark, d).select("member", "row_number", F.coalesce("reason", F.lit("valid")).alias("reason"))
 
 
+def q_loaded(spark, d) -> DataFrame:
+    rows = validation.load_valid(validated(spark, d))
+    tens = lambda c: F.floor(F.col(c) / 10).alias(f"{c}_tens")  # noqa: E731  the lines' cents are rounded otherwise by other engines
+    return rounded(rows.select("member", "row_number", int_date("bar_date").alias("date"), tens("open"), tens("high"), tens("close"), "volume"))
+
+
+def q_quarantine(spark, d) -> DataFrame:
+    return validation.quarantine(validated(spark, d)).select("member", "row_number", "reason", F.substring("preview", 1, 16).alias("preview"))
+
+
+def zipped(spark, d) -> str:
+    """The raw lines as an archive in the shared folder, member by member; one more member is empty and one has a bad header."""
+    path = f"{shared_dir(spark, 'archive')}.zip"
+    rows = raw_lines(spark, d).select("member", "row_number", "line").orderBy("member", "row_number").toLocalIterator()
+    more = [("data/daily/us/nyse stocks/1/empty.us.txt", []), ("data/daily/us/nyse stocks/1/odd.us.txt", ["<TICKER>,<PER>", "ODD.US,D,20200101,000000,1,1,1,1,1,0"])]
+    archive.write_zip(path, chain(archive.grouped(rows, ",".join(validation.HEADER)), more))
+    return path
+
+
+def q_zip(spark, d) -> DataFrame:
+    """Every line of an archive, through its reader and the validation."""
+    lines = archive.read_zip(spark, zipped(spark, d))
+    rows = validation.validate(validation.classify_paths(archive.data_lines(lines)), "header_valid")
+    return rows.select("member", "row_number", F.coalesce("reason", F.lit("valid")).alias("reason"))
+
+
+def q_manifest(spark, d) -> DataFrame:
+    """The symbol manifest of an archive."""
+    from . import builds
+
+    path = zipped(spark, d)
+    lines = archive.read_zip(spark, path)
+    rows = stage(validation.validate(validation.classify_paths(archive.data_lines(lines)), "header_valid"), "validated")
+    made = builds.member_table(spark, archive.inventory(spark, path), lines, rows)
+    return rounded(made.select("source_member", "instrument_id", "header_valid", "empty_file", "row_count", "valid_row_count", "invalid_row_count", "first_date", "last_date", "zero_volume_count", "extreme_return_50_count", "extreme_return_100_count", "max_abs_return", "min_close", "max_close"))
+
+
 def q_reasons(spark, d) -> DataFrame:
     return validation.reason_histogram(validated(spark, d))
 
@@ -381,6 +420,40 @@ def q_fingerprint(spark, d) -> DataFrame:
     return each.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "instrument_id", "h"))), "\n"), 256).alias("content_sha256"))
 
 
+def q_store(spark, d) -> DataFrame:
+    """A store of bars, written, published, read by two columns and verified."""
+    root = shared_dir(spark, "store")
+    keys = ["instrument_id", "signal_date"]
+    stores.write_store(bars(spark, d).select(*keys, "source_row_number", "close", "volume"), root, keys, "bars_v1")
+    report = stores.verify_store(spark, root, "signal_date % 100 = 13")
+    rows = stores.read_store(spark, root, "bars_v1", ["instrument_id", "volume"])
+    sums = rows.groupBy("instrument_id").agg(F.count("*").alias("rows"), F.round(F.sum("volume"), 4).alias("volume"))
+    return sums.withColumns({"verified": F.lit(report["rows"] and report["content"]), "duplicate_keys": F.lit(int(report["duplicate_keys"])).cast("long"), "protected_rows": F.lit(int(report["protected_rows"])).cast("long")})
+
+
+def q_compare(spark, d) -> DataFrame:
+    """Bars against bars of which one day in the month is missing and another has other volumes."""
+    a = stage(bars(spark, d).select("instrument_id", "signal_date", "volume"), "bars")
+    b = a.filter("signal_date % 100 <> 13").withColumn("volume", F.col("volume") + (F.col("signal_date") % 100 == 14).cast("int"))
+    return stores.compare_stores(a, b)
+
+
+def q_pending(spark, d) -> DataFrame:
+    """The work list of all generators and instruments without what was done, which is one generator."""
+    work = signals.work_list(spark, signals.Registry([*FAMILIES, EVERY_SHORT]), spans(spark, d))
+    return stores.pending(work, work.filter(F.col("generator_key") == DEMO.key), ["generator_key", "instrument_id"])
+
+
+def q_csv(spark, d) -> DataFrame:
+    return bars(spark, d, "region").select("instrument_id", "signal_date", stores.significant(F.col("close")).alias("close"), stores.significant(F.col("volume") / 7e9).alias("small"), stores.significant(F.col("close") * 1e9).alias("large"))
+
+
+def q_catalog(spark, d) -> DataFrame:
+    """The universe of a class and exchange in any case, with rows, by id."""
+    rows = spans(spark, d).select("instrument_id", "exchange", F.lit("stocks").alias("instrument_class"), F.col("rows").alias("valid_row_count"))
+    return signals.select_universe(rows, exchange="asia", instrument_class="STOCKS")
+
+
 def q_store_fingerprint(spark, d) -> DataFrame:
     return fingerprint(bars(spark, d).select("instrument_id", "signal_date", "close"), ["instrument_id", "signal_date"])
 
@@ -408,5 +481,7 @@ QUERIES = {
     "research_join": q_research, "family_counts": q_family_counts, "anti_missing_outcomes": q_anti, "universe_diff": q_universe_diff, "walkforward_folds": q_folds, "fold_status": q_fold_status,
     "rank_metrics": q_rank, "auc": q_auc, "brier": q_brier, "gate_decision": q_gate, "impute_standardize": q_impute,
     "ridge_oof": q_ridge, "logistic_oof": q_logistic, "score_gates": q_score_gates, "ensemble_predict": q_ensemble, "specialist_metadata": q_specialists,
+    "zip_validate": q_zip, "symbol_manifest": q_manifest, "load_valid": q_loaded, "quarantine": q_quarantine, "select_universe": q_catalog,
+    "store_verify": q_store, "store_compare": q_compare, "pending_work": q_pending, "csv_values": q_csv,
     "fingerprint": q_fingerprint, "store_fingerprint": q_store_fingerprint,
 }

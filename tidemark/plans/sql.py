@@ -193,6 +193,24 @@ SQL = {
     **{f"bars_{by}_daily": w(_bars(by), f"SELECT instrument_id, signal_date, source_row_number, {_R(['open', 'high', 'low', 'close', 'volume']).replace(', 6)', ', 8)')} FROM bars") for by in ("supplier", "region")},
     "classify_paths": "SELECT DISTINCT 'data/daily/us/nyse stocks/1/s' || l_suppkey || '.us.txt' AS member, 'NYSE' AS exchange, 'stocks' AS instrument_class, 'S' || l_suppkey AS ticker, 'US:NYSE:STOCKS:S' || l_suppkey AS instrument_id FROM lineitem",
     "validate_rows": w(_LINES, "SELECT member, row_number, coalesce(reason, 'valid') AS reason FROM v"),
+    "zip_validate": w(_LINES, "SELECT member, row_number, coalesce(reason, 'valid') AS reason FROM v UNION ALL SELECT 'data/daily/us/nyse stocks/1/odd.us.txt', 2, 'invalid_header'"),
+    "symbol_manifest": w(_LINES + """,
+m AS (SELECT *, abs(p / lag(p) OVER (PARTITION BY member ORDER BY row_number) - 1) AS mv FROM v WHERE reason IS NULL),
+e AS (SELECT member, count(*) FILTER (mv > 0.5) AS x50, count(*) FILTER (mv > 1.0) AS x100, round(max(mv), 6) AS mx FROM m GROUP BY 1)""", f"""SELECT member AS source_member, 'US:NYSE:STOCKS:' || upper(regexp_extract(member, '/(s[0-9]+)[.]us', 1)) AS instrument_id, true AS header_valid, false AS empty_file, count(*) AS row_count, count(*) FILTER (reason IS NULL) AS valid_row_count,
+  count(*) FILTER (reason IS NOT NULL) AS invalid_row_count, strftime(min(d) FILTER (reason IS NULL), '%Y-%m-%d') AS first_date, strftime(max(d) FILTER (reason IS NULL), '%Y-%m-%d') AS last_date, count(*) FILTER (reason IS NULL AND volume = 0) AS zero_volume_count,
+  coalesce(max(x50), 0) AS extreme_return_50_count, coalesce(max(x100), 0) AS extreme_return_100_count, max(mx) AS max_abs_return, round(min(p) FILTER (reason IS NULL), 6) AS min_close, round(max(p) FILTER (reason IS NULL), 6) AS max_close FROM v LEFT JOIN e USING (member) GROUP BY member
+UNION ALL SELECT 'data/daily/us/nyse stocks/1/empty.us.txt', 'US:NYSE:STOCKS:EMPTY', false, true, 0, 0, 0, NULL, NULL, 0, 0, 0, NULL, NULL, NULL
+UNION ALL SELECT 'data/daily/us/nyse stocks/1/odd.us.txt', 'US:NYSE:STOCKS:ODD', false, false, 1, 0, 1, NULL, NULL, 0, 0, 0, NULL, NULL, NULL"""),
+    "load_valid": w(_LINES, f"SELECT member, row_number, {_INT.format('d')} AS date, floor(p / 10)::BIGINT AS open_tens, floor(high / 10)::BIGINT AS high_tens, floor(p / 10)::BIGINT AS close_tens, round(volume, 6) AS volume FROM v WHERE reason IS NULL"),
+    "quarantine": w(_LINES + """,
+t AS (SELECT *, concat_ws(',', CASE WHEN k = 3 THEN 'XYZ.US' ELSE 'S' || regexp_extract(member, '/s([0-9]+)[.]us', 1) || '.US' END, CASE WHEN k = 4 THEN 'W' ELSE 'D' END, CASE WHEN k = 6 THEN '20210229' ELSE strftime(d, '%Y%m%d') END, CASE WHEN k = 5 THEN '093000' ELSE '000000' END,
+  CASE WHEN k = 7 THEN 'nan' WHEN k = 8 THEN '-1' ELSE p::VARCHAR END, CASE WHEN k = 11 THEN '0.01' WHEN k = 12 THEN '9999999' ELSE p::VARCHAR END, CASE WHEN k = 12 THEN '9999998' ELSE p::VARCHAR END, CASE WHEN k = 2 THEN 'abc' ELSE p::VARCHAR END,
+  CASE WHEN k = 9 THEN 'inf' WHEN k = 10 THEN '-5' WHEN k = 14 THEN '0' ELSE l_quantity::VARCHAR END, CASE WHEN k = 1 THEN '0,0' ELSE '0' END) AS line FROM v)""", "SELECT member, row_number, reason, left(line, 16) AS preview FROM t WHERE reason IS NOT NULL"),
+    "select_universe": w(_SPANS, "SELECT instrument_id, exchange, 'stocks' AS instrument_class, rows AS valid_row_count FROM sp WHERE lower(exchange) = 'asia'"),
+    "store_verify": w(_bars(), "SELECT instrument_id, count(*) AS rows, round(sum(volume), 4) AS volume, true AS verified, 0::BIGINT AS duplicate_keys, (SELECT count(*) FROM bars WHERE signal_date % 100 = 13) AS protected_rows FROM bars GROUP BY 1"),
+    "store_compare": w(_bars(), "SELECT count(*) FILTER (signal_date % 100 IN (13, 14)) AS only_a, count(*) FILTER (signal_date % 100 = 14) AS only_b FROM bars"),
+    "pending_work": w(_SPANS, "SELECT generator_key, instrument_id FROM sp, (VALUES ('every_bar|v1.0.0|LONG'), ('every_bar|v1.0.0|SHORT')) g(generator_key)"),
+    "csv_values": w(_bars("region"), "SELECT instrument_id, signal_date, printf('%.12g', close) AS close, printf('%.12g', volume / 7e9) AS small, printf('%.12g', close * 1e9) AS large FROM bars"),
     "reason_histogram": w(_LINES, "SELECT reason, count(*) AS rows FROM v WHERE reason IS NOT NULL GROUP BY 1"),
     "member_summary": w(_LINES, f"""SELECT member, count(*) AS row_count, count(*) FILTER (reason IS NULL) AS valid_rows, count(*) FILTER (reason IS NOT NULL) AS invalid_rows, min({_INT.format('d')}) FILTER (reason IS NULL) AS first_date,
   max({_INT.format('d')}) FILTER (reason IS NULL) AS last_date, count(*) FILTER (reason IS NULL AND volume = 0) AS zero_volume, round(min(p) FILTER (reason IS NULL), 6) AS min_close, round(max(p) FILTER (reason IS NULL), 6) AS max_close FROM v GROUP BY member"""),

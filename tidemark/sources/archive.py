@@ -48,6 +48,31 @@ def _open(path: str):
     return store.open_input_file(name)
 
 
+def write_zip(path: str, members) -> None:
+    """An archive of (name, lines) pairs, one after the other."""
+    if "://" in path:
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(path)
+        store.create_dir(name.rpartition("/")[0], recursive=True)
+        out = store.open_output_stream(name)
+    else:
+        out = open(path, "wb")
+    with out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, rows in members:
+            with z.open(name, "w") as f:
+                for line in rows:
+                    f.write(line.encode() + b"\n")
+
+
+def grouped(rows, header: str):
+    """(member, lines) of rows that come sorted by member and row number."""
+    from itertools import chain, groupby
+
+    for member, own in groupby(rows, key=lambda r: r["member"]):
+        yield member, chain([header], (r["line"] for r in own))
+
+
 def directory(path: str) -> list[Member]:
     """The files of an archive by name."""
     with _open(path) as f, zipfile.ZipFile(f) as z:
