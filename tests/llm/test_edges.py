@@ -59,6 +59,19 @@ def linked(rows, n, num, den):
     return [(d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _, _) in enumerate(rows)]
 
 
+def groups(rows, n, num, den):
+    """The group of each row, by the row that stands for it."""
+    sets = [ngram_jaccard.word_set(t, n) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    return dict(enumerate(root))
+
+
 def plain(rows):
     return sorted([tuple(r) for r in rows], key=repr)
 
@@ -85,6 +98,47 @@ def test_jaccard_group_of_half_similar_copies(spark):
         assert plain(ngram_jaccard.ngram_jaccard_join(clashing(spark, rows), tokens=tokens).collect()) == plain(linked(rows, 4, 85, 100))
 
 
+def test_cells_of_a_group_find_every_component():
+    """Cells, and then strays against all cells, as the join deals them out, against all pairs."""
+    rng = np.random.default_rng(31)
+    for trial in range(300):
+        n = int(rng.integers(6, 40))
+        kinds = [rng.integers(0, 2**60, 40).astype(np.uint64) for _ in range(3)]
+        kinds[1][:35] = kinds[0][:35]  # kinds that are nearly similar: few pairs link them
+        kinds[2][2:37] = kinds[1][2:37]
+        sets = []
+        for _ in range(n):
+            s = kinds[int(rng.integers(0, 3))].copy()
+            s[rng.choice(40, int(rng.integers(0, 5)), replace=False)] = rng.integers(0, 2**60, 1)
+            sets.append(np.unique(s))
+        links = [(i, j) for i in range(n) for j in range(i) if 100 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - b)]
+
+        def parts(edges):
+            root = list(range(n))
+            for i, j in edges:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+            return root
+
+        cells, blocks = int(rng.integers(1, 5)), int(rng.integers(1, 4))
+        place, block = rng.integers(0, cells, n), rng.integers(0, blocks, n)
+        found = []
+        for c in range(cells):
+            at = np.array([0, *(i for i in range(1, n) if place[i] == c)])  # the hub is everywhere
+            found += [(at[i], at[j]) for i, j in ngram_jaccard.forest([sets[x] for x in at], at, np.ones(len(at), bool), 85, 100)]
+        root = np.array(parts(found))
+        main = int(np.bincount(root).argmax())
+        stray = root != main
+        more = []
+        for j in range(blocks):
+            for c in range(cells):
+                own = stray & (block == j)
+                at = np.flatnonzero(own | (place == c))
+                if len(at) and own.any():
+                    more += [(at[a], at[b]) for a, b in ngram_jaccard.forest([sets[x] for x in at], root[at], own[at], 85, 100, main)]
+        assert parts([*found, *more]) == parts(links), trial
+
+
 def test_scheme_takes_both_kinds_of_segments():
     scheme = ngram_jaccard.Scheme(85, 100, (1000,) * 60)
     kinds = {lo: k for lo, k in zip(scheme.lo, scheme.kinds, strict=True)}
@@ -444,3 +498,41 @@ def test_language_odd_rows(spark):
     held = got[got.held_out & (got.doc_id < 300)]
     assert (held.lang_pred == held.doc_id.map(lambda i: ("aa", "bb", "cc")[int(i) % 3])).mean() >= 0.97
     assert set(language.identify_language(df.filter("lang is null")).toPandas().lang_pred) == {"und"} and language.identify_language(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, odd):
+    """Each stage on rows with nulls, repeated ids and clashing columns, against brute force."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.001"
+    rows = [*odd[:12], *odd[14:], *((i, r["text"], r["source"]) for i, r in ((r["doc_id"] + 1000, r) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()))]
+    docs = clashing(spark, rows).cache()
+    names = docs.columns
+    kept = c.reject_toxic(spark, docs, sf)
+    assert kept.columns == names and 0.8 * len(rows) < kept.count() <= len(rows)
+    one = c.keep_one_of_each_group(spark, docs, sf)
+    want = linked(rows, 5, 80, 100)
+    # groups may share their smallest doc_id, as document 5 has two texts: count them by their rows
+    group = [find for _, find in sorted(groups(rows, 5, 80, 100).items())]
+    assert one.columns == names and one.count() == len({g for g, (_, size, _) in zip(group, want, strict=True) if size}) + sum(not size for _, size, _ in want)
+    clean = c.drop_benchmark(spark, docs, sf)
+    assert clean.columns == names
+    mixed = c.mix(spark, docs, sf)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r[:3] for r in rows], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    taken = con.sql(mixing.SQL).df()
+    times = Counter()
+    for r in taken.itertuples(index=False):
+        if r.size:
+            times[None if pd.isna(r.doc_id) else int(r.doc_id)] += int(r.taken // r.size)
+    got = Counter(r["doc_id"] for r in mixed.filter("regexp_count(coalesce(text, ''), '[^ \\t-\\r]+') > 0").collect())
+    assert {k: n for k, n in times.items() if n} == dict(got) and mixed.columns == names
+    tokens = c.write_tokens(spark, mixed, sf).collect()
+    model = Tokenizer.from_file(token_files.default_tokenizer())
+    crc = lambda t: zlib.crc32(np.array([*(model.encode(t, add_special_tokens=False).ids if t else []), 0], "<u4").tobytes())
+    assert plain((r["doc_id"], r["ids_crc32"]) for r in tokens) == plain((r["doc_id"], crc(r["text"])) for r in mixed.collect())
+    docs.unpersist()

@@ -304,7 +304,7 @@ def _hub_members(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a set of a band needs enough segments that any other set has
     enough = shared.groupBy("sid", "band").agg(F.count_distinct("seg").alias("segs"), F.max("least").alias("least")).filter("segs >= least").select("sid", "band")
     rows = stage(shared.join(enough, ["sid", "band"], "left_semi"), "rows")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("cnt"), F.bool_or("probe").alias("any"), F.min_by("sid", F.xxhash64("sid")).alias("hub"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("cnt"), F.min_by("sid", F.xxhash64("sid")).alias("hub"))
     probers = rows.filter("probe").join(buckets.filter("cnt > 1").select("key", "cnt", "hub"), "key")
     # the cheapest segments whose weights, with those of unshared ones, exceed H
     segs = probers.groupBy("sid", "base", "weight", "seg").agg(F.sum("cnt").alias("cost"), F.collect_list(F.struct("key", "hub")).alias("keys"))
@@ -318,11 +318,12 @@ def _hub_members(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------------ verification
 
 
-def forest(sets: list, labels: np.ndarray, pivots: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def forest(sets: list, labels: np.ndarray, pivots: np.ndarray, num: int, den: int, main: int | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that join the components of the sets, as far as ``labels`` do not.
 
-    Every pair with at least one of ``pivots`` counts. A pivot is compared with all sets at once; one that is already in the
-    largest component needs no comparison, as any link to a set outside is found from that set's side.
+    Every pair with at least one of ``pivots`` counts. A pivot is compared with all sets at once. One that is in the component
+    ``main`` needs no comparison, as any link to a set outside is found from that set's side, here or in another cell. Without
+    ``main`` all sets are pivots, and the largest component takes its place.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     tokens, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -334,10 +335,11 @@ def forest(sets: list, labels: np.ndarray, pivots: np.ndarray, num: int, den: in
     starts = np.cumsum(lens) - lens
     postings = doc[np.argsort(ids, kind="stable")]
     cuts = np.searchsorted(doc, np.arange(len(sets) + 1))
-    _, label = np.unique(labels, return_inverse=True)
-    todo, links, main = pivots.copy(), [], -1
+    _, label = np.unique(np.append(labels, labels[:1] if main is None else main), return_inverse=True)
+    done, label = -1 if main is None else int(label[-1]), label[:-1].copy()
+    todo, links = pivots.copy(), []
     while True:
-        left = np.flatnonzero(todo & (label != main))
+        left = np.flatnonzero(todo & (label != done))
         if not len(left):
             return links
         i = int(left[0])
@@ -349,22 +351,25 @@ def forest(sets: list, labels: np.ndarray, pivots: np.ndarray, num: int, den: in
             both = np.bincount(postings[at], minlength=len(sets))
             near = np.flatnonzero(den * both >= num * (sizes[i] + sizes - both))
             for j in near:
-                if label[j] != label[i]:
+                if (other := label[j]) != label[i]:
                     links.append((i, int(j)))
-                    label[label == label[j]] = label[i]
-        main = int(np.argmax(np.bincount(label)))
+                    label[label == other] = label[i]
+                    if other == done:
+                        done = int(label[i])
+        if main is None:
+            done = int(np.argmax(np.bincount(label)))
 
 
 def _verify(n: int, num: int, den: int):
     """Links ``a, b`` of each cell. Rows come sorted by ``hub, cell``."""
 
     def run(batches):
-        now, sets, sids, roots, pivots, out = None, [], [], [], [], []
+        now, main, sets, sids, roots, pivots, out = None, None, [], [], [], [], []
 
         def close():
             if len(sets) > 1:
                 order = np.argsort(np.array(sids) != now[0], kind="stable")  # the hub first
-                found = forest([sets[x] for x in order], np.array(roots)[order], np.array(pivots)[order], num, den)
+                found = forest([sets[x] for x in order], np.array(roots)[order], np.array(pivots)[order], num, den, main)
                 out.extend((sids[order[i]], sids[order[j]]) for i, j in found)
             for x in (sets, sids, roots, pivots):
                 x.clear()
@@ -375,11 +380,11 @@ def _verify(n: int, num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array(a.min(axis=1)), pa.array(a.max(axis=1))], ["a", "b"])
 
         for batch in batches:
-            hub, cell, sid, root, pivot = (batch.column(c).to_pylist() for c in ("hub", "cell", "sid", "root", "pivot"))
+            hub, cell, sid, root, pivot, mains = (batch.column(c).to_pylist() for c in ("hub", "cell", "sid", "root", "pivot", "main"))
             for i, s in enumerate(shingle_sets(*utf8(batch.column("text")), n)):
                 if (hub[i], cell[i]) != now:
                     close()
-                    now = (hub[i], cell[i])
+                    now, main = (hub[i], cell[i]), mains[i]
                 sets.append(s)
                 sids.append(sid[i])
                 roots.append(root[i])
@@ -394,9 +399,9 @@ def _verify(n: int, num: int, den: int):
 
 
 def _links(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links among ``rows(hub, cell, sid, root, pivot)``."""
+    """Links among ``rows(hub, cell, sid, root, pivot, main)``; main is null where every row is a pivot."""
     cells = rows.join(texts, "sid").repartition("hub", "cell").sortWithinPartitions("hub", "cell")
-    return stage(cells.select("hub", "cell", "sid", "root", "pivot", "text").mapInArrow(freeing(_verify(n, num, den)), "a long, b long"), "links")
+    return stage(cells.select("hub", "cell", "sid", "root", "pivot", "main", "text").mapInArrow(freeing(_verify(n, num, den)), "a long, b long"), "links")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, tokens: int = TOKENS) -> DataFrame:
@@ -451,7 +456,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, tokens: int) -> tuple[D
     texts = stage(texts.dropDuplicates(["sid"]), "texts")
 
     cell = F.when(F.col("sid") == F.col("hub"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")))
-    first = members.select("hub", "sid", F.explode(cell).alias("cell"), F.col("sid").alias("root"), F.lit(True).alias("pivot"))
+    first = members.select("hub", "sid", F.explode(cell).alias("cell"), F.col("sid").alias("root"), F.lit(True).alias("pivot"), F.lit(None).cast("long").alias("main"))
     links = _links(first, texts, n, num, den)
     labels = components(links)
     large = groups.filter("cells > 1").select("hub")
@@ -464,9 +469,9 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, tokens: int) -> tuple[D
         rooted = rooted.join(strays, "hub")
         block = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")
         place = F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")
-        cells = "hub", "sid", "root", "pivot"
+        cells = "hub", "sid", "root", "main", "pivot"
         left = rooted.filter("pivot").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(*cells, (block * F.col("cells") + F.col("i")).alias("cell"))
-        right = rooted.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.col("pivot") & (F.col("j") == block)).filter("not own").select("hub", "sid", "root", F.lit(False).alias("pivot"), (F.col("j") * F.col("cells") + place).alias("cell"))
+        right = rooted.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.col("pivot") & (F.col("j") == block)).filter("not own").select("hub", "sid", "root", "main", F.lit(False).alias("pivot"), (F.col("j") * F.col("cells") + place).alias("cell"))
         more = _links(left.unionByName(right), texts, n, num, den)
         if not more.isEmpty():
             labels = components(links.union(more))
