@@ -139,6 +139,13 @@ def test_cells_of_a_group_find_every_component():
         assert parts([*found, *more]) == parts(links), trial
 
 
+def test_strays_that_outnumber_the_main_component_in_a_cell():
+    """Only the last of a chain of strays is similar to the one member of the main component that the cell has."""
+    sets = [np.arange(5 * k, 5 * k + 100, dtype=np.uint64) for k in range(6)]
+    labels, pivots = np.array([0] * 5 + [9]), np.array([True] * 5 + [False])
+    assert ngram_jaccard.forest(sets, labels, pivots, 85, 100, 9) == [(4, 5)]
+
+
 def test_scheme_takes_both_kinds_of_segments():
     scheme = ngram_jaccard.Scheme(85, 100, (1000,) * 60)
     kinds = {lo: k for lo, k in zip(scheme.lo, scheme.kinds, strict=True)}
