@@ -23,6 +23,7 @@ earlier than each other. Strings are judged on the input. An empty table gives n
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -433,13 +434,13 @@ def _decide(length: int, pids: int):
                 groups.setdefault(anchor, {}).setdefault((k, body), []).append((doc, nth, places))
         out: dict[tuple[int, int], list] = {}
 
-        def settle(rows, shift, best):
+        def settle(rows, a, b):
+            """A stretch has fewer windows than a window has bytes, so those that go are one range of it."""
             for doc, nth, places in rows:
-                lost = np.flatnonzero(best < doc)
-                if len(lost):
-                    r = _ranges(lost, length) + shift
-                    for at in np.frombuffer(places, np.int64):
-                        out.setdefault((doc, nth), []).append(r + at)
+                own = out.setdefault((doc, nth), [])
+                for (at,) in struct.iter_unpack("<q", places):
+                    own.append(at + a)
+                    own.append(at + b)
 
         mixed, owners, rows_of = [], [], []
         for bodies in groups.values():
@@ -460,9 +461,8 @@ def _decide(length: int, pids: int):
             for body, held in trimmed.items():
                 owner = min(r[0] for rows, _ in held for r in rows)
                 if len(trimmed) == 1:
-                    best = np.full(len(body) - length + 1, owner)
                     for rows, lo in held:
-                        settle(rows, lo, best)
+                        settle([r for r in rows if owner < r[0]], lo, lo + len(body))
                 else:
                     mixed.append(body)
                     owners.append(owner)
@@ -471,10 +471,13 @@ def _decide(length: int, pids: int):
         if mixed:
             for held, best in zip(rows_of, window_minima(mixed, np.array(owners, np.int64), length), strict=True):
                 for rows, lo in held:
-                    settle(rows, lo, best)
+                    for row in rows:
+                        lost = np.flatnonzero(best < row[0])
+                        if len(lost):
+                            settle([row], lo + int(lost[0]), lo + int(lost[-1]) + length)
         if out:
             keys = np.array(list(out), np.int64).reshape(-1, 2)
-            found = [np.concatenate(x) for x in out.values()]
+            found = [np.array(x, np.int64).reshape(-1, 2) for x in out.values()]
             labels, rows = bucket_labels(pids), []
             for pid, at in by_bucket(mix(keys[:, 0].view(_U)).view(np.int64) % pids):
                 counts = np.array([len(found[i]) for i in at], np.int64)
