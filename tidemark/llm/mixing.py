@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import load, stage
+from ._common import load, parts, stage
 
 WEIGHTS = (5, 2, 1)
 #: Bits of the hash that each level of the histograms looks at, from the highest.
@@ -27,24 +27,35 @@ LEVELS = (10, 11, 11)
 FEW = 100_000
 
 
+def _running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """``df`` with sums over all rows that come earlier in the order, which has to be total; no task sees more than its range.
+
+    Ranges are summed first: a row a partition. All sums are of whole numbers, so their order changes nothing.
+    """
+    ranged = stage(df.repartitionByRange(parts(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(totals), "_part")
+    return out.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()}).drop("_part", *(f"_{n}" for n in sums))
+
+
 def targets(sized: DataFrame, share_num: int, share_den: int, most: int) -> DataFrame:
-    """``source, has_source, source_size, target`` from ``source, size``; one row for each source."""
+    """``source, source_size, target`` from ``source, size``; one row for each source, of which there may be as many as documents."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
     weights = F.array(*map(F.lit, WEIGHTS))
-    ranked = sums.withColumn("weight", F.element_at(weights, ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int")).cast("double"))
+    ranked = _running(sums, [F.col("source").isNull(), F.col("source")], {"place": F.lit(1)})
+    ranked = ranked.withColumn("weight", F.element_at(weights, (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("double"))
     ranked = ranked.withColumn("cap", F.col("source_size").cast("double") * most)
-    every = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        ranked.withColumn("wanted", F.sum("source_size").over(every) * share_num / F.lit(float(share_den)))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(by_ratio), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0.0)))
-        .withColumn("level", (F.col("wanted") - F.col("capped")) / F.col("rest"))
-    )
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
-    target = F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))
-    return ranked.select("source", "source_size", F.round(target, 6).alias("target"))
+    ranked = _running(ranked, [F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source")], {"capped": F.col("cap"), "before": F.col("weight")})
+    whole = ranked.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights"))
+    ranked = ranked.join(F.broadcast(whole))  # one row
+    ranked = ranked.withColumn("level", (F.col("all_sizes") * share_num / F.lit(float(share_den)) - F.col("capped")) / (F.col("all_weights") - F.col("before")))
+    ranked = stage(ranked, "levels")
+    level = ranked.agg(F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).alias("found"))
+    target = F.least("cap", F.coalesce("found", F.lit(float("inf"))) * F.col("weight"))
+    return ranked.join(F.broadcast(level)).select("source", "source_size", F.round(target, 6).alias("target"))  # one row
 
 
 def _thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
