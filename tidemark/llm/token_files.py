@@ -172,21 +172,27 @@ class Encoder:
         kept = dict.fromkeys(hard, "")
         words = pc.split_pattern(pa.array([kept.get(i, x) for i, x in enumerate(texts)], pa.string()), " ")
         offsets, words = words.offsets.to_numpy().astype(np.int64), words.flatten().dictionary_encode()
-        which, first = words.indices.to_numpy().astype(np.int64), offsets[:-1]
+        which, first = words.indices.to_numpy().astype(np.int32), offsets[:-1]
         words = words.dictionary
         place = self._places(words)
         # a text's first word has no space before it
         begins: dict[int, int] = {}
-        heads = np.array([begins.setdefault(w, len(words) + len(begins)) for w in which[first].tolist()], np.int64)
+        heads = np.array([begins.setdefault(w, len(words) + len(begins)) for w in which[first].tolist()], np.int32)
         bare = [self.whole(words[w].as_py()) for w in begins]
         which[first] = heads
         ids = np.concatenate([self.flat, *bare])
-        length = np.concatenate([self.begin[place + 1] - self.begin[place], [len(x) for x in bare]]).astype(np.int64)
-        start = np.concatenate([self.begin[place], len(self.flat) + np.cumsum([0, *(len(x) for x in bare)])[:-1]]).astype(np.int64)
+        # a chunk's ids are counted in 32 bits: these arrays are most of what it holds
+        length = np.concatenate([self.begin[place + 1] - self.begin[place], [len(x) for x in bare]]).astype(np.int32)
+        start = np.concatenate([self.begin[place], len(self.flat) + np.cumsum([0, *(len(x) for x in bare)])[:-1]]).astype(np.int32)
         n = length[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(start[which] - ends[:-1], n)
-        at += np.arange(ends[-1])
+        ends = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=ends[1:])
+        first = start[which]
+        del which, words, place
+        first -= ends[:-1]
+        at = np.repeat(first, n)
+        del n, first
+        at += np.arange(ends[-1], dtype=np.int32)
         ids = ids[at]
         at = ends[offsets]
         found = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
