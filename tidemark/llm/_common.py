@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,50 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir, stage, unstage  # noqa: F401
+
 _U = np.uint64
 WHITESPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _SPAN = 1 << 18
 
 
-# --------------------------------------------------------------------------- storage
-
-
-@functools.cache
-def _own_dir() -> str:
-    path = tempfile.mkdtemp(prefix="tidemark-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own_dir()
-    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes the rows as Parquet in the shared folder and reads them from there."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Deletes staged tables that no later job reads."""
-    for df in tables:
-        if path := getattr(df, "staged_at", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
