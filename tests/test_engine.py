@@ -101,6 +101,26 @@ def test_zip(spark, zipped):
     assert archive.read_zip(spark, zipped, only=["readme.md"]).collect()[0]["line"] is None
 
 
+def test_archive_is_packed_by_tasks(spark, tmp_path, monkeypatch):
+    """Lines don't pass through the driver, and reading validates in one pass."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **b: pytest.fail("lines pass through the driver"))
+    rows = spark.range(3000).select(F.format_string("data/daily/us/nyse stocks/s%d.us.txt", F.col("id") % 7).alias("member"), (F.col("id") + 2).alias("row_number"), F.format_string("S,%d,\u00e9", "id").alias("line"))
+    path = f"file://{tmp_path}/x/p.zip"
+    archive.write_zip(rows.orderBy(F.rand(1)), path, HEADER, [("data/daily/us/nyse stocks/none.us.txt", []), ("readme.md", ["x"])])
+    with zipfile.ZipFile(tmp_path / "x" / "p.zip") as z:
+        assert z.testzip() is None and len(z.namelist()) == 9
+        for k in range(7):
+            assert z.read(f"data/daily/us/nyse stocks/s{k}.us.txt").decode().split("\n") == [HEADER, *(f"S,{i},\u00e9" for i in range(k, 3000, 7)), ""]
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["p.zip"]
+    lines = archive.read_zip(spark, path)
+    data = archive.data_lines(lines)
+    assert data.count() == 3000 and data.filter("not header_valid").count() == 0
+    assert data._jdf.queryExecution().executedPlan().toString().count("BatchScan") <= 1
+    assert {r["member"].rpartition("/")[2]: r["header_valid"] for r in archive.states(lines).collect()} == {f"s{k}.us.txt": True for k in range(7)}
+
+
 def test_broken_member(spark, zipped, tmp_path):
     body = bytearray(open(zipped, "rb").read())
     at = body.index(b"XYZ.US,D,20200101")
