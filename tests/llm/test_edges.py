@@ -543,3 +543,28 @@ def test_pipeline_stages(spark, odd):
     crc = lambda t: zlib.crc32(np.array([*(model.encode(t, add_special_tokens=False).ids if t else []), 0], "<u4").tobytes())
     assert plain((r["doc_id"], r["ids_crc32"]) for r in tokens) == plain((r["doc_id"], crc(r["text"])) for r in mixed.collect())
     docs.unpersist()
+
+
+def test_latent_space_takes_every_document(spark, monkeypatch):
+    """A'AG over the passages of all documents, more than the 20,000 that were once enough."""
+    from tidemark.llm import decontaminate as dc
+
+    words = ["ant", "bee", "cat", "dog", "elk", "fox"]
+    (own,) = dc.documents(*dc.utf8(dc.pa.array([" ".join(words)], dc.pa.large_string())))
+    seen = []
+    monkeypatch.setattr(dc.Index, "fit", lambda self, *a: seen.append((self, *a)))
+    texts = [" ".join(words[j] for j in range(6) if (i * 7 + 3) >> j & 1) + (" zzz" * 70 + " ant bee" if i % 5 == 0 else "") for i in range(22_000)]
+    dc.build(spark.createDataFrame([(t,) for t in texts], "text string"), [(1, own)])
+    index, df, passages, sketch, test = seen[0]
+    place = {w: int(index.terms(own)[i]) for i, w in enumerate(words)}
+    rows = []
+    for t in texts:
+        w = t.split()
+        for lo in range(0, len(w), dc.PASSAGE):
+            rows.append([0.0] * 6)
+            for x in w[lo : lo + dc.PASSAGE]:
+                if x in place:
+                    rows[-1][place[x]] += 1
+    a = dc.np.array(rows)
+    assert passages == len(rows) and df.tolist() == (a > 0).sum(axis=0).tolist()
+    assert dc.np.allclose(sketch, a.T @ (a @ test), rtol=1e-4, atol=1e-4 * abs(sketch).max())

@@ -3,8 +3,7 @@
 1. Items are words (lower-cased, cut at blanks and ASCII punctuation); their vocabulary is the space. Document frequencies
    over the passages (``PASSAGE`` words) of all documents give the idf weights.
 2. A distributed randomised SVD of the TF-IDF passages finds the latent space: workers send each term's row of A'AG for a
-   random matrix G, taken over the items and a sample of about ``SAMPLE`` documents; the driver takes the left singular
-   vectors. Every document is searched, whatever the sample.
+   random matrix G, taken over the items and the passages of all documents; the driver takes the left singular vectors.
 3. Windows of each document, about as long as the items (one size for each power of two, a quarter apart), are compared with
    the items by cosine in the latent space. Windows hold sums of word vectors, so one running sum serves all sizes.
    Beside it, whatever the weights, every window that has enough of an item's words to pass step 4 is a candidate.
@@ -27,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITESPACE, doc_slices, hash_words, load, sampled, separators, utf8, word_bounds
+from ._common import WHITESPACE, doc_slices, hash_words, load, separators, utf8, word_bounds
 
 SEP = separators(*WHITESPACE, *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))
-PASSAGE, SAMPLE, RANK, OVER = 64, 20_000, 96, 16
+PASSAGE, RANK, OVER = 64, 96, 16
 #: Least weight of a term in the search.
 FLOOR = 0.01
 COSINE, CONTAINS = 0.45, 0.4
 SURE, LIKELY, FEW = 0.8, 0.65, 4
 BLOCK = 500_000
+#: Terms of passages whose vectors are summed at once, few enough for a core's cache.
+HELD = 4096
 #: Bits of a word's hash that are looked up before the vocabulary is searched.
 PREFIX = 20
 
@@ -66,7 +67,7 @@ class Index:
         for _, w in self.items:
             t, n = np.unique(self.terms(w), return_counts=True)
             own[t] += n[:, None] * (n @ test[t])
-        # items weigh as much as the sample does
+        # items weigh as much as the documents do
         ratio = np.linalg.norm(sketch) / max(np.linalg.norm(own), 1e-9)
         y = idf[:, None] * (sketch + max(1.0, ratio) * own)
         basis, s, _ = np.linalg.svd(y, full_matrices=False)
@@ -212,27 +213,43 @@ def documents(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _statistics(index: Index, test: np.ndarray):
-    """Rows (term, df, z0 ...): a worker's document frequencies, and its share of A'AG from sampled documents."""
+    """Rows (term, df, z0 ...): a worker's document frequencies and its share of A'AG."""
     names = ["term", "df", *(f"z{i}" for i in range(test.shape[1]))]
+    own = test.astype(np.float32)
+
+    def add(z: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        """Adds A'AG of some passages; keys (passage * terms + term) rise."""
+        key, n = np.concatenate(keys), len(index.vocabulary)
+        count, term, passage = np.concatenate(counts).astype(np.float32)[:, None], key % n, key // n
+        new = np.concatenate([[True], passage[1:] != passage[:-1]])
+        sums = np.add.reduceat(count * own[term], np.flatnonzero(new), axis=0)
+        order = np.argsort(term, kind="stable")
+        term, at = term[order], (np.cumsum(new) - 1)[order]
+        cuts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        z[term[cuts]] += np.add.reduceat(count[order] * sums[at], cuts, axis=0)
 
     def run(batches):
         n = len(index.vocabulary)
         df, z, total = np.zeros(n, np.int64), np.zeros((n, test.shape[1])), 0
         for batch in batches:
             met = [np.zeros(0, np.int64)]
-            for words, chosen in zip(documents(*utf8(batch.column("text"))), batch.column("chosen").to_pylist(), strict=True):
+            keys, counts, held = [], [], 0
+            for words in documents(*utf8(batch.column("text"))):
                 t = index.terms(words)
                 at = np.flatnonzero(t >= 0)
-                total += -(-len(words) // PASSAGE)
+                first, total = total, total + -(-len(words) // PASSAGE)
                 if not len(at):
                     continue
-                key, count = np.unique(at // PASSAGE * n + t[at], return_counts=True)
-                term = key % n
-                met.append(term)
-                if chosen:
-                    cuts = np.flatnonzero(np.concatenate([[True], key[1:] // n != key[:-1] // n]))
-                    sums = np.add.reduceat(count[:, None] * test[term], cuts, axis=0)
-                    np.add.at(z, term, count[:, None] * np.repeat(sums, np.diff(np.concatenate([cuts, [len(key)]])), axis=0))
+                key, count = np.unique((first + at // PASSAGE) * n + t[at], return_counts=True)
+                met.append(key % n)
+                keys.append(key)
+                counts.append(count)
+                held += len(key)
+                if held >= HELD:
+                    add(z, keys, counts)
+                    keys, counts, held = [], [], 0
+            if held:
+                add(z, keys, counts)
             df += np.bincount(np.concatenate(met), minlength=n)
         rows = np.flatnonzero(df)
         sums = np.concatenate([z[rows], np.zeros((1, test.shape[1]))])
@@ -246,10 +263,8 @@ def build(docs: DataFrame, items: list[tuple[int, np.ndarray]]) -> Index:
     index = Index(items)
     k = min(RANK + OVER, max(2, 2 * len(items)))
     test = np.random.default_rng(7).standard_normal((len(index.vocabulary), k))
-    count = docs.count()
-    chosen = sampled(min(1.0, SAMPLE / max(1, count)), "text")
     run, schema = _statistics(index, test)
-    rows = docs.select("text", chosen.alias("chosen")).mapInArrow(run, schema)
+    rows = docs.select("text").mapInArrow(run, schema)
     sums = rows.groupBy("term").agg(F.sum("df").alias("df"), *(F.sum(f"z{i}").alias(f"z{i}") for i in range(k))).toPandas()
     passages = int(sums.loc[sums["term"] < 0, "df"].sum())
     sums = sums[sums["term"] >= 0]
