@@ -525,3 +525,16 @@ def test_boosting_is_that_of_mllib(spark):
         odds, line = GBTClassifier(labelCol="y_target", **same).fit(made), GBTRegressor(labelCol="y_return", predictionCol="line", **same).fit(made)
         wanted = line.transform(odds.transform(made)).withColumn("p", vector_to_array("probability")[1]).select("i", "p", "line").collect()
         assert max(abs(got[r["i"]]["p_specialist"] - r["p"]) for r in wanted) < 1e-9 and max(abs(got[r["i"]]["predicted_return"] - r["line"]) for r in wanted) < 1e-9
+
+
+def test_ensemble_is_one_stage(spark):
+    """The jobs of a fit don't grow with its rounds."""
+    rows = [(("x", "y")[i % 2], float(i % 7), float(i % 5), int(i % 7 > 3), float(i % 7) / 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "setup_family string, a double, b double, y_target int, y_return double")
+    jobs = []
+    for rounds in (2, 12):
+        spark.sparkContext.setJobGroup(f"rounds {rounds}", "")
+        models.GatedEnsemble(models.EnsembleConfig(("a",), ("b",), minimum_rows=100, iterations=rounds, depth=2, leaf_rows=5)).fit(df)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds {rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
